@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, sharding, url_filters
+from . import byte_bpe, decontamination, secrets, sharding, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scans": secrets.op1_secret_scans,
+        "op2_decontamination": decontamination.op2_decontamination,
         "op3_sharding": sharding.op3_sharding,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op9_url_filters": url_filters.op9_url_filters,
