@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, secrets, sharding, url_filters
+from . import byte_bpe, decontamination, secrets, sharding, toxicity, url_filters, warc
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op1_secret_scans": secrets.op1_secret_scans,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_sharding": sharding.op3_sharding,
+        "op5_warc": warc.op5_warc,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op9_url_filters": url_filters.op9_url_filters,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
