@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -200,7 +200,7 @@ def search(postings: DataFrame, found: Broadcast) -> DataFrame:
                 all_spans: list[list] = [[] for _ in range(len(keys))]
                 all_items: list[list] = [[] for _ in range(len(keys))]
                 edges = np.flatnonzero(np.diff(doc, prepend=-1))
-                for i, j in zip(edges, [*edges[1:], len(doc)], strict=True):
+                for i, j in pairwise([*edges.tolist(), len(doc)]):
                     d = int(doc[i])
                     spans, last = all_spans[d], -1
                     for a, b in zip((start[i:j] - begin[d]).tolist(), (stop[i:j] - begin[d]).tolist(), strict=True):
