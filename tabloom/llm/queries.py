@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, jaccard_join, secrets, sharding, toxicity, url_filters, warc
+from . import byte_bpe, decontamination, jaccard_join, nearest, secrets, sharding, toxicity, url_filters, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_sharding": sharding.op3_sharding,
         "op5_warc": warc.op5_warc,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+        "op7_nearest_neighbours": nearest.op7_nearest_neighbours,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_toxicity": toxicity.op10_toxicity,
