@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, jaccard_join, nearest, secrets, sharding, toxicity, url_filters, warc
+from . import byte_bpe, decontamination, jaccard_join, nearest, repeats, secrets, sharding, toxicity, url_filters, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_secret_scans": secrets.op1_secret_scans,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_sharding": sharding.op3_sharding,
+        "op4_suffix_dedup": repeats.op4_suffix_dedup,
         "op5_warc": warc.op5_warc,
         "op6_byte_bpe": byte_bpe.op6_byte_bpe,
         "op7_nearest_neighbours": nearest.op7_nearest_neighbours,
