@@ -1,8 +1,56 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: documents in, encoded documents out. Each stage's rows are written and read again by the next."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tabloom.llm import byte_bpe, decontamination, jaccard_join, secrets, toxicity
+from tabloom.llm.shared import written
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier doesn't reject."""
+    return toxicity.drop_toxic(docs, _read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a benchmark passage."""
+    return decontamination.drop_contaminated(docs, _read(spark, sf_dir, "benchmark"))
+
+
+def secret_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, live credentials in them replaced by a mark."""
+    return secrets.redact_live(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document its number of tokens and the digests of its ids and of what they decode to."""
+    return byte_bpe.digests(docs)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", contaminated),
+    ("secret_scans", secret_values),
+    ("byte_bpe", encoded),
+]
+#: SQL can express neither the classifier nor the encoding; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to the whole table of documents."""
+    docs = _read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
