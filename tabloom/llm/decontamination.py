@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import discard, words, written
+from .shared import boxed, discard, words, written
 
 #: Words of a window; words of one segment of the index; characters of benchmark text that one broadcast holds.
 WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 20, 16 << 20
@@ -272,10 +272,10 @@ def decontaminate(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, whole and with all their columns."""
-    key = docs.withColumn("_key", F.xxhash64("text"))
-    hit = decontaminate(key, benchmark, ["doc_id", "_key"]).where("contaminated").select("doc_id", "_key").distinct()
-    hit = hit.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_hit"))
-    return key.join(hit, key["doc_id"].eqNullSafe(hit["_doc"]) & (key["_key"] == hit["_hit"]), "left_anti").select(*docs.columns)
+    box = boxed(docs, doc=F.col("doc_id"), key=F.xxhash64("text"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    hit = decontaminate(keyed, benchmark, ["doc_id", "key"]).where("contaminated").select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key")).distinct()
+    return box.join(hit, box["doc"].eqNullSafe(hit["hit_doc"]) & (box["key"] == hit["hit_key"]), "left_anti").select("row.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import U64, discard, mix, partitions, release, written
+from .shared import U64, boxed, discard, mix, partitions, release, written
 from .shingles import shingle_sets
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -405,16 +405,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     is_first = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("first_key"))
     gone = met.where(~is_first).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_gone")).distinct()
     twice = met.where(is_first).groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_gone")).count().where("count > 1").drop("count")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    same = lambda other: keyed["doc_id"].eqNullSafe(other["_doc"]) & (keyed["_key"] == other["_gone"])
-    kept = keyed.join(gone, same(gone), "left_anti")
+    box = boxed(docs, doc=F.col("doc_id"), key=F.xxhash64("text"))
+    same = lambda other: box["doc"].eqNullSafe(other["_doc"]) & (box["key"] == other["_gone"])
+    kept = box.join(gone, same(gone), "left_anti")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
-    twice = written(twice, "twice")  # rows that repeat in full: of these one by the columns' values
-    return (
-        kept.join(twice, kept["doc_id"].eqNullSafe(twice["_doc"]) & (kept["_key"] == twice["_gone"]), "left_anti").select(*docs.columns)
-        .unionByName(keyed.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns))
-    )
+        return kept.select("row.*")
+    twice = written(twice, "twice")  # rows that repeat, with the same id and text: of these one
+    one = box.join(twice, same(twice), "left_semi").dropDuplicates(["doc", "key"])
+    return kept.join(twice, same(twice), "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import written
+from .shared import boxed, written
 
 #: Kinds in listed order; the last is the one that the method adds.
 KINDS = ("assign", "access", "hex", "token")
@@ -148,20 +148,25 @@ def redact(text: str, spans: list, mark: str = "[SECRET]") -> str:
 def redact_live(docs: DataFrame) -> DataFrame:
     """docs with the live credentials of each text replaced by a mark and n_chars, where there, counted anew.
     Copied examples and clean documents stay as they are. Null texts stay null."""
-    key = docs.withColumn("_key", F.xxhash64("text"))
-    found = scan_secrets(key, extra=["_key"]).where("n_live > 0")
-    found = found.groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_found")).agg(F.first("live_spans").alias("_spans"))
-    met = key.join(found, key["doc_id"].eqNullSafe(found["_doc"]) & (key["_key"] == found["_found"]), "left").select(*docs.columns, "_spans")
+    keyed = docs.select("doc_id", "source", F.xxhash64("text").alias("key"), "text")
+    found = scan_secrets(keyed, extra=["key"]).where("n_live > 0")
+    found = found.groupBy(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key")).agg(F.first("live_spans").alias("spans"))
+    box = boxed(docs, doc=F.col("doc_id"), key=F.xxhash64("text"), text=F.col("text"))
+    met = box.join(found, box["doc"].eqNullSafe(found["hit_doc"]) & (box["key"] == found["hit_key"]), "left")
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else redact(t, list(s)) for t, s in zip(texts, spans, strict=True)])
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean("text", "_spans"))
-    out = met.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    hit = F.col("spans").isNotNull()
+    new = met.withColumn("new", F.when(hit, clean("text", "spans")).otherwise(F.col("text")))
+    replaced = {"text": F.col("new"), "n_chars": F.length("new")}
+    return new.select(
+        *[
+            F.when(hit, replaced[f.name].cast(f.dataType)).otherwise(F.col(f"row.`{f.name}`")).alias(f.name) if f.name in replaced else F.col(f"row.`{f.name}`").alias(f.name)
+            for f in docs.schema
+        ]
+    )
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import gc
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Letters A-Z become lower case, digits, a-z and every byte of a non-ASCII character stay, all else separates words.
 WORD_BYTES = bytes(
@@ -47,6 +48,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one struct column `row` beside the given ones, so that no name of theirs can clash; unboxed by row.*"""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import words
+from .shared import boxed, words
 
 #: Buckets that words and their beginnings are hashed to; rows of the embedding at most, its width; filter widths, and filters of each.
 BUCKETS, ROWS, DIM, WIDTHS, FILTERS = 1 << 24, 1 << 17, 12, (1, 2, 3), 12
@@ -290,7 +290,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score stays below THRESHOLD, whole and with all their columns."""
-    return apply(docs, train(docs, labels), docs.columns).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    return apply(boxed(docs), train(docs, labels), ["row"], "row.text").where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
