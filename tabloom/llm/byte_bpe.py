@@ -6,7 +6,9 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark import SparkFiles
@@ -29,69 +31,101 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.token = {rank: token for token, rank in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pair: dict[int, int] = {}
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        made = {}  # every pair of tokens that makes a token
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    made[left << 32 | right] = rank
+        self.made = made
+        self.pairs = np.array(sorted(made), np.int64)
+        self.merged = np.array([made[k] for k in self.pairs.tolist()], np.int64)
         self.known: dict[str, tuple[str, bytes]] = {}
 
-    def rank(self, left: int, right: int) -> int:
-        """The rank of the token that a pair of tokens makes, or -1."""
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that each pair of tokens makes, or -1."""
+        if not len(self.pairs):
+            return np.full(len(left), -1, np.int64)
         key = left << 32 | right
-        if (found := self.pair.get(key)) is None:
-            found = self.pair[key] = self.ranks.get(self.token[left] + self.token[right], -1)
-        return found
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], -1)
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word.
 
         The words lie one after the other. `places` is the inverted index: for each merge, the positions of the pairs
-        that it joins. The lowest merge that still has a position is applied at its leftmost one; only the two pairs
-        that touch it change. Within a word this is the order in which single words are merged.
+        that it joins. The merges are applied in rank order, each at all its positions; only the pairs that touch one
+        are looked up again and indexed anew. Where that makes a pair of lower rank than the merge at hand, which no
+        order over all words settles, the word is merged by itself.
         """
-        token, word_of = [], []
-        for k, word in enumerate(words):
-            token += [self.byte[b] for b in word]
-            word_of += [k] * len(word)
+        sizes = np.array([len(w) for w in words], np.int64)
+        token = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         n = len(token)
-        before, after, made = list(range(-1, n - 1)), list(range(1, n + 1)), [-1] * n
-        places: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if word_of[i] == word_of[i + 1] and (rank := self.rank(token[i], token[i + 1])) >= 0:
-                made[i] = rank
-                places.setdefault(rank, []).append(i)  # ascending, so a heap
-        queue = sorted(places)
+        ends = np.cumsum(sizes)
+        first, last = (ends - sizes)[sizes > 0], ends[sizes > 0] - 1
+        word_of = np.repeat(np.arange(len(words)), sizes)
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        before[first], after[last] = -1, -1
+        made = np.full(n, -1, np.int64)
+        pair = np.flatnonzero(after >= 0)
+        made[pair] = self.rank(token[pair], token[pair + 1])
+        pair = pair[made[pair] >= 0]
+        pair = pair[np.argsort(made[pair], kind="stable")]
+        values, cuts = np.unique(made[pair], return_index=True)
+        places = {r: p.tolist() for r, p in zip(values.tolist(), np.split(pair, cuts[1:]), strict=True)}
+        queue, alone = values.tolist(), set()
         while queue:
-            rank = queue[0]
-            held = places[rank]
-            if not held:
-                del places[heappop(queue)]
-                continue
-            i = heappop(held)
-            if made[i] != rank:
+            rank = heappop(queue)
+            i = np.array(places.pop(rank), np.int64)
+            i = np.unique(i[made[i] == rank])
+            if not len(i):
                 continue
             j = after[i]
-            token[i], token[j], made[j] = rank, -1, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
+            if (made[j] == rank).any():  # a pair of equal tokens may overlap itself: every second one of a run
+                keep, taken = [], -1
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if x != taken:
+                        keep.append(x)
+                        taken = y
+                i = np.array(keep, np.int64)
+                j = after[i]
+            k = after[j]
+            token[i], token[j], made[i], made[j], after[i] = rank, -1, -1, -1, k
+            right = k >= 0
+            before[k[right]] = i[right]
             h = before[i]
-            touched = [i] if k < n and word_of[k] == word_of[i] else []
-            made[i] = -1
-            if h >= 0 and word_of[h] == word_of[i]:
-                touched.append(h)
-            for p in touched:
-                made[p] = new = self.rank(token[p], token[after[p]])
-                if new >= 0:
-                    if new not in places:
-                        places[new] = []
-                        heappush(queue, new)
-                    heappush(places[new], p)
-        out: list[list[int]] = [[] for _ in words]
-        i = 0
-        while i < n:
-            out[word_of[i]].append(token[i])
-            i = after[i]
+            left = h >= 0
+            touched = np.concatenate([i[right], h[left]])
+            new = self.rank(token[touched], token[after[touched]])
+            made[touched] = new
+            for p, r in zip(touched.tolist(), new.tolist(), strict=True):
+                if r >= 0:
+                    if r <= rank:
+                        alone.add(int(word_of[p]))
+                    elif r in places:
+                        places[r].append(p)
+                    else:
+                        places[r] = [p]
+                        heappush(queue, r)
+        alive = token >= 0
+        cuts = np.cumsum(np.bincount(word_of[alive], minlength=len(words)))[:-1]
+        out = [x.tolist() for x in np.split(token[alive], cuts)] if words else []
+        for w in alone:
+            out[w] = self.merge_alone(words[w])
         return out
 
+    def merge_alone(self, word: bytes) -> list[int]:
+        ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        while len(ids) > 1:
+            ranks = [self.made.get(a << 32 | b, 1 << 62) for a, b in pairwise(ids)]
+            low = min(ranks)
+            if low == 1 << 62:
+                break
+            i = ranks.index(low)
+            ids[i : i + 2] = [low]
+        return ids
+
     def learn(self, words: set[str]) -> None:
         """Encodes the words that aren't known yet, a bounded number of bytes at a time."""
         fresh = [w for w in words if w not in self.known]
@@ -133,7 +167,7 @@ def _ids_row(ids: str, decoded: bytes) -> tuple:
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str = "text",
-    row: Callable[[str, bytes], tuple] = _ids_row, schema: str = "ids array<int>, decoded string", batch_bytes: int = 4 << 20,
+    row: Callable[[str, bytes], tuple] = _ids_row, schema: str = "ids array<int>, decoded string", batch_bytes: int = 8 << 20,
 ) -> DataFrame:
     """The columns `keep` of every document, and what `row` makes of its ids and of the bytes decoded from them.
 
