@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, discard, mix, partitions, release, written
+from .shared import U64, discard, mix, partitions, release, small_batches, written
 from .suffixes import window_classes
 
 LENGTH, GRAM = 100, 32
@@ -37,8 +37,7 @@ BLOCK, SLICE, SORTED = 4 << 20, 4 << 20, 1 << 20
 MANY = 5000
 NULL = np.iinfo(np.int64).max
 TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
-BASE = U64(0xD1342543DE82EF95)
-INVERSE = U64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+BASE, SECOND = U64(0xD1342543DE82EF95), U64(0x9E3779B97F4A7C15)
 #: Columns of packed rows. An occurrence: hashes of the anchor and of its surroundings, document, place, first and last
 #: start of the strings that it is the anchor of, and how far its surroundings go to either side.
 SEEN = [("anchor", "u8"), ("around", "u8"), ("check", "u8"), ("doc", "i8"), ("text", "i8"), ("at", "i4"), ("low", "u1"), ("high", "u1"), ("left", "u1"), ("right", "u1")]
@@ -70,15 +69,14 @@ def take(columns: dict, at: np.ndarray) -> dict:
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on."""
+    """A hash of the GRAM bytes from each place on: a polynomial of random byte values, mixed."""
     with np.errstate(over="ignore"):
-        out, width, factor = TABLE[data], 1, U64(0x9E3779B97F4A7C15)
+        out, width, factor = TABLE[data], 1, BASE
         while width < GRAM:
-            out = out[:-width] * factor + out[width:]
-            out ^= out >> U64(29)
-            factor *= U64(0xD6E8FEB86659FD93)
-            width *= 2
-    return mix(out)
+            longer = out[:-width] * factor
+            longer += out[width:]
+            out, width, factor = longer, width * 2, factor * factor
+        return mix(out)
 
 
 def _slices(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes, int, int]]]:
@@ -109,31 +107,36 @@ def occurrences(texts: list[bytes], docs: np.ndarray, keys: np.ndarray) -> dict:
         begin = end - sizes
         hashes = grams(data)
         bits = U64(int(len(hashes)).bit_length())
-        low = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=U64)  # lowest hash, then leftmost
+        low = hashes & ~((U64(1) << bits) - U64(1))
+        low |= np.arange(len(hashes), dtype=U64)  # lowest hash, then leftmost
         width = 1
         while width * 2 <= REACH + 1:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low = np.minimum(low[: len(low) - (REACH + 1 - width)], low[REACH + 1 - width :])
-        starts = np.concatenate([np.arange(b + s[3], b + s[4]) for b, s in zip(begin.tolist(), block, strict=True)])
-        anchor = (low[starts] & ((U64(1) << bits) - U64(1))).astype(np.int64)
-        change = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))  # ascending: starts of one anchor are neighbours
-        at, first = anchor[change], starts[change]
-        last = starts[np.append(change[1:], len(starts)) - 1]
+        low &= (U64(1) << bits) - U64(1)
+        # the starts of one anchor are neighbours; only the starts of this block's slices count
+        valid = np.zeros(len(low), bool)
+        for b, s in zip(begin.tolist(), block, strict=True):
+            valid[b + s[3] : b + s[4]] = True
+        change = valid.copy()
+        change[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
+        first = np.flatnonzero(change)
+        ends = valid.copy()
+        ends[:-1] &= change[1:] | ~valid[1:]
+        last = np.flatnonzero(ends)
+        at = low[first].astype(np.int64)
         row = np.searchsorted(end, at, side="right")
         offset = np.array([b[1] for b in block], np.int64)[row]
         size = np.array([len(texts[b[0]]) for b in block], np.int64)[row]
         left = np.minimum(at - begin[row] + offset, REACH)
         right = np.minimum(size - (at - begin[row] + offset), LENGTH)
-        lo, hi = at - left, at + right
+        # the surroundings are GRAM bytes after GRAM bytes, up to their end
+        around = [left.astype(U64) * U64(257) + right.astype(U64), right.astype(U64) * U64(263) + left.astype(U64)]
         with np.errstate(over="ignore"):
-            around = []
-            for values, base, inverse in ((TABLE[data], BASE, INVERSE), (mix(TABLE)[data], INVERSE, BASE)):
-                power, back = np.full(len(data), base), np.full(len(data), inverse)
-                power[:1] = back[:1] = 1
-                power, back = np.cumprod(power, dtype=U64), np.cumprod(back, dtype=U64)
-                total = np.concatenate([np.zeros(1, U64), np.cumsum(values * power, dtype=U64)])
-                around.append(mix((total[hi] - total[lo]) * back[lo] + left.astype(U64) * U64(257) + right.astype(U64)))
+            for reach in (*range(-REACH, LENGTH - GRAM, GRAM), LENGTH - GRAM):
+                piece = hashes[np.minimum(np.maximum(at + reach, at - left), at + right - GRAM)]
+                around = [mix(around[0] * BASE + piece), mix(around[1] * SECOND ^ piece)]
         d = np.array([b[0] for b in block], np.int64)[row]
         parts.append({
             "anchor": hashes[at], "around": around[0], "check": around[1], "doc": docs[d], "text": keys[d], "at": at - begin[row] + offset,
@@ -143,23 +146,26 @@ def occurrences(texts: list[bytes], docs: np.ndarray, keys: np.ndarray) -> dict:
 
 
 def firsts(seen: dict) -> tuple[dict, np.ndarray]:
-    """The occurrences sorted by anchor, surroundings and order of documents, and which of them come first: they have
-    the smallest doc, and in a document of it (told apart by its text) the smallest place."""
-    order = np.lexsort((seen["at"], seen["text"], seen["doc"], seen["check"], seen["around"], seen["anchor"]))
-    seen = take(seen, order)
-    n = len(order)
-    if not n:
-        return seen, np.zeros(0, bool)
-    step = lambda *names: np.concatenate([[True], np.any([seen[c][1:] != seen[c][:-1] for c in names], axis=0)])
+    """The occurrences, those of shared anchors sorted by anchor, surroundings and order of documents before all others,
+    and which of them come first: they have the smallest doc, and in a document of it (told apart by its text) the
+    smallest place."""
+    order = np.argsort(seen["anchor"], kind="stable")
+    anchor = seen["anchor"][order]
+    equal = np.concatenate([anchor[1:] == anchor[:-1], [False]]) if len(order) else np.zeros(0, bool)
+    equal[1:] |= equal[:-1].copy()
+    alone, order = order[~equal], order[equal]
+    order = order[np.lexsort(tuple(seen[c][order] for c in ("at", "text", "doc", "check", "around", "anchor")))]
+    many = take(seen, order)
+    alone = take(seen, alone)
+    if not len(order):
+        return alone, np.ones(len(alone["at"]), bool)
+    step = lambda *names: np.concatenate([[True], np.any([many[c][1:] != many[c][:-1] for c in names], axis=0)])
     kind = step("anchor", "around", "check")
-    group = np.cumsum(kind) - 1
-    lowest = seen["doc"][kind][group]
-    own = kind | step("doc", "text")
-    place = step("doc", "text", "at") | kind  # a row that is there twice is one
-    first = own & (seen["doc"] == lowest)
-    twice = ~place
-    keep = ~twice
-    return take(seen, keep), first[keep]
+    lowest = many["doc"][kind][np.cumsum(kind) - 1]
+    first = (kind | step("doc", "text")) & (many["doc"] == lowest)
+    keep = kind | step("doc", "text", "at")  # a row that is there twice is one
+    together = {name: np.concatenate([many[name][keep], alone[name]]) for name in many}
+    return together, np.concatenate([first[keep], np.ones(len(alone["at"]), bool)])
 
 
 def _again(seen: dict) -> dict:
@@ -182,7 +188,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    """Groups of texts of some BLOCKs, with document and text key."""
+    """Groups of texts of a BLOCK or so, with document and text key."""
     for batch in batches:
         docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key"))
         begun, held = 0, 0
@@ -190,7 +196,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.
         for i, cell in enumerate(batch.column("text")):
             block.append((cell.as_py() or "").encode("utf-8", "surrogatepass"))
             held += len(block[-1])
-            if held >= 4 * BLOCK or i + 1 == batch.num_rows:
+            if held >= BLOCK or i + 1 == batch.num_rows:
                 yield block, docs[begun : i + 1], keys[begun : i + 1]
                 begun, held, block = i + 1, 0, []
 
@@ -460,7 +466,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Texts are shuffled twice, by document; anchors once, as packed rows; no group of equal strings gathers in a task,
     since each task sends one of a kind.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     buckets = 4 * partitions(spark)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL)).alias("doc"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     kinds = written(_kinds(_anchors(base, buckets), buckets), "kinds")
