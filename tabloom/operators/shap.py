@@ -19,8 +19,8 @@ MOST_MODELS, MOST_DEPTH = 50, 10
 
 
 class Paths:
-    """The leaves of a tree: for each the features on its path with the interval that leads there and the share of rows
-    that take it, and the value."""
+    """The leaves of a tree: for each the features on its path with the tests that lead there and the share of rows that
+    pass them, and the value."""
 
     def __init__(self, tree: list[dict], classes: int | None):
         self.leaves: list[tuple[dict, np.ndarray]] = []
@@ -41,10 +41,19 @@ class Paths:
                 value = stats / stats.sum() if stats.sum() else np.full(self.classes, 1 / self.classes)
             self.leaves.append((path, value))
             return
-        f, t, whole = n["feature"], n["threshold"], self._cover(tree, i)
-        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, interval in ((n["left"], (low, min(high, t))), (n["right"], (max(low, t), high))):
-            self._walk(tree, child, path | {f: (*interval, share * (self._cover(tree, child) / whole if whole else 0.5))})
+        f, whole = n["feature"], self._cover(tree, i)
+        tests, share = path.get(f, ((), 1.0))
+        condition = n["threshold"] if n["categories"] is None else n["categories"]
+        for child, goes_left in ((n["left"], True), (n["right"], False)):
+            self._walk(tree, child, path | {f: ((*tests, (condition, goes_left)), share * (self._cover(tree, child) / whole if whole else 0.5))})
+
+    @staticmethod
+    def _takes(x: np.ndarray, tests: tuple) -> np.ndarray:
+        """Which values pass all tests of a path: at or below a threshold, or among categories, or not so."""
+        out = np.ones(len(x), bool)
+        for condition, goes_left in tests:
+            out &= (np.isin(x, list(condition)) if isinstance(condition, frozenset) else x <= condition) == goes_left
+        return out
 
     def values(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, features, outputs) contributions and the expectation. A leaf's game is a product over its features: one
@@ -55,11 +64,11 @@ class Paths:
         for path, value in self.leaves:
             features = list(path)
             d = len(features)
-            share = np.array([path[f][2] for f in features])
+            share = np.array([path[f][1] for f in features])
             base += share.prod() * value
             if not d:
                 continue
-            takes = np.stack([(x[:, f] > path[f][0]) & (x[:, f] <= path[f][1]) for f in features], 1).astype(float)
+            takes = np.stack([self._takes(x[:, f], path[f][0]) for f in features], 1).astype(float)
             weight = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
             for i, f in enumerate(features):
                 poly = np.zeros((len(x), d))  # by the number of features that are known

@@ -27,8 +27,8 @@ class Tree:
 
 
 def nodes(model) -> list[dict]:
-    """The nodes of an ML tree by their id: feature (-1 for a leaf), threshold, left, right, value (the prediction, or
-    the share of each class) and weight (rows seen)."""
+    """The nodes of an ML tree by their id: feature (-1 for a leaf), threshold or the categories that go left,
+    left, right, value (the prediction) and stats (of its rows)."""
     rows = model._java_obj if hasattr(model, "_java_obj") else model
     out: list[dict] = []
 
@@ -38,13 +38,15 @@ def nodes(model) -> list[dict]:
         stats = list(node.impurityStats().stats()) if hasattr(node, "impurityStats") else []
         leaf = node.getClass().getSimpleName() == "LeafNode"
         if leaf:
-            out[at] = {"feature": -1, "threshold": 0.0, "left": -1, "right": -1, "value": node.prediction(), "stats": stats}
+            out[at] = {"feature": -1, "threshold": 0.0, "left": -1, "right": -1, "value": node.prediction(), "stats": stats, "categories": None}
         else:
             split = node.split()
-            if split.getClass().getSimpleName() != "ContinuousSplit":
-                raise ValueError("only splits of continuous features can be read")
+            continuous = split.getClass().getSimpleName() == "ContinuousSplit"
             left, right = walk(node.leftChild()), walk(node.rightChild())
-            out[at] = {"feature": split.featureIndex(), "threshold": split.threshold(), "left": left, "right": right, "value": node.prediction(), "stats": stats}
+            out[at] = {
+                "feature": split.featureIndex(), "threshold": split.threshold() if continuous else 0.0, "left": left, "right": right, "value": node.prediction(), "stats": stats,
+                "categories": None if continuous else frozenset(split.leftCategories()),
+            }
         return at
 
     walk(rows.rootNode())
