@@ -16,12 +16,12 @@ from ..functions.core import Operator, is_float, is_numeric, one_row, quoted, re
 LITERAL_CATEGORIES = 1000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _title(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None else s.title())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None else s.casefold())
 
