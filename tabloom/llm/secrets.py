@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import boxed, written
+from .shared import boxed, small_batches, written
 
 #: Kinds in listed order; the last is the one that the method adds.
 KINDS = ("assign", "access", "hex", "token")
@@ -66,6 +66,7 @@ def joined(findings: list[tuple]) -> str:
 
 def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """One row per document: the columns `keep`, counts of the base kinds, their digest, and all findings. No shuffle."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*keep, docs[text].alias("_text"))
     extra = T._parse_datatype_string(f"n_assign long, n_access long, n_hex long, base_sha256 string, findings {FINDING}")
     types = [f.type for f in to_arrow_schema(extra)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +50,31 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bytes of one Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds what a Python worker is handed at once, where the session allows more: rows may be long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if now == "-1" or int(now.rstrip("bB") if now.rstrip("bB").lstrip("-").isdigit() else 1 << 62) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+    return spark
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles while millions of plain strings come and go that are in none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
     """docs as one struct column `row` beside the given ones, so that no name of theirs can clash; unboxed by row.*"""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import boxed, words
+from .shared import boxed, small_batches, words
 
 #: Buckets that words and their beginnings are hashed to; rows of the embedding at most, its width; filter widths, and filters of each.
 BUCKETS, ROWS, DIM, WIDTHS, FILTERS = 1 << 24, 1 << 17, 12, (1, 2, 3), 12
@@ -23,7 +23,7 @@ PREFIXES, LEAST_DOCS = (4, 5, 6, 7, 8, 9), 5
 SAMPLE, SAMPLE_CHARS = (1500, 3000), 32 << 20
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 32, 0.01, 1e-4, 7
 #: Words that a worker remembers the rows of.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 THRESHOLD = 0.3
 UNITS = len(PREFIXES) + 1
 
@@ -244,9 +244,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang"] for r in rows])
 
 
-def apply(docs: DataFrame, model: Model, keep: list[str], text: str = "text", block_chars: int = 4 << 20) -> DataFrame:
+def apply(docs: DataFrame, model: Model, keep: list[str], text: str = "text", block_chars: int = 2 << 20) -> DataFrame:
     """The columns `keep` and the score of each whole text, in one pass without a shuffle. The model's size is fixed."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

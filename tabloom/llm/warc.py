@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import partitions, scratch, written
+from .shared import partitions, scratch, small_batches, written
 
 #: Bytes after which a task begins another archive; the largest gap that one read runs over, and the largest read.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 1 << 30, 64 << 10, 8 << 20
@@ -171,6 +171,7 @@ def round_trip(pages: DataFrame, base: str | None = None, least: int = 0) -> Dat
     responses only. A null url is archived as about:blank and comes back as null; other columns are ignored; an empty
     table gives no row.
     """
+    small_batches(pages.sparkSession)
     base = base or f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_records(write_archives(mark_revisits(pages, least), base), base)
 
