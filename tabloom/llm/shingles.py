@@ -44,7 +44,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     out, ends = [], np.cumsum(counts)
     with np.errstate(over="ignore"):
         rolled = hashes.copy()
-        for k in range(1, width):
+        for k in range(1, min(width, n)):
             rolled[: n - k] = rolled[: n - k] * STEP + hashes[k:]
         rolled = mix(rolled)
         for end, count in zip(ends.tolist(), counts.tolist(), strict=True):

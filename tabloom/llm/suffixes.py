@@ -14,12 +14,12 @@ def suffix_order(text: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     a suffix that has a rank by then; they are sorted by these two and merged with the others.
     """
     n = len(text)
-    bits = max(1, int(text.max()).bit_length()) if n else 1
+    bits = int(text.max() + 1).bit_length() if n else 1
     if n < 4 or 3 * bits > 63:
         if n >= 4:
             raise ValueError("the text has too many symbols")
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
-    at = np.concatenate([text.astype(np.int64), np.zeros(3, np.int64)])
+    at = np.concatenate([text.astype(np.int64) + 1, np.zeros(3, np.int64)])  # 0 is past the end
     one, two = np.arange(1, n, 3), np.arange(2, n, 3)
     places = np.concatenate([one, two])
     key = (at[places] << (2 * bits)) | (at[places + 1] << bits) | at[places + 2]
