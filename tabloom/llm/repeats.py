@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, discard, mix, partitions, release, small_batches, written
+from .shared import U64, mix, partitions, release, small_batches, written
 from .suffixes import window_classes
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes before an anchor that a string with it may begin
 #: Bytes of texts that one step looks at, and of one slice of a very long text; characters that are sorted together.
-BLOCK, SLICE, SORTED = 4 << 20, 4 << 20, 1 << 20
+BLOCK, SLICE, SORTED = 2 << 20, 4 << 20, 1 << 20
 #: Kinds of surroundings of one anchor from which its strings are dealt one by one.
 MANY = 5000
 NULL = np.iinfo(np.int64).max
