@@ -7,26 +7,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import U64, boxed, discard, mix, partitions, release, written
+from .shared import U64, boxed, discard, mix, partitions, release, small_batches, written
 from .shingles import shingle_sets
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Coordinates of a sketch, repeated runs, levels of splitting below the first, and the bucket size that isn't split.
-TOKENS, RUNS, LEVELS, SMALL = 128, 10, 3, 512
+TOKENS, RUNS, LEVELS, SMALL = 128, 16, 3, 512
 #: The share of its members from which a child shows that a bucket consists of near copies, which no split parts.
-WHOLE = 0.5
-#: The least share of equal bits of two sketches that are compared further: six deviations below that of the threshold.
+WHOLE = 0.3
+#: The least number of equal bits of two sketches that are compared further: over five deviations below that of the threshold.
 LEAST_BITS = 96
 RNG = np.random.default_rng(20180611)
 FACTOR = RNG.integers(1, 1 << 63, TOKENS, np.uint64) * U64(2) + U64(1)
 OFFSET = RNG.integers(0, 1 << 63, TOKENS, np.uint64)
 ROOTS = mix(np.arange(1, RUNS + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -123,9 +123,10 @@ def _leaves(classes: DataFrame) -> DataFrame:
 
     A bucket stays whole where it is small, on the last level, or where a child of it keeps WHOLE of its members."""
     spark = classes.sparkSession
-    done, now = [], _split(classes, True)
+    done, now, tables = [], _split(classes, True), []
     for level in range(LEVELS + 1):
-        now = written(now, "paths")
+        now = written(now, "paths") if not level else now
+        tables.append(now)
         sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).where("n > 1")
         if level:
             sizes = sizes.join(whole, sizes["parent"] == whole["whole"], "left_anti")  # noqa: F821
@@ -134,6 +135,7 @@ def _leaves(classes: DataFrame) -> DataFrame:
             done.append(now.drop("parent").join(sizes, "node"))
             break
         small, large = sizes.where(F.col("n") <= SMALL), written(sizes.where(F.col("n") > SMALL), "large")
+        tables.append(large)
         done.append(now.drop("parent").join(small, "node"))
         if large.isEmpty():
             break
@@ -141,12 +143,15 @@ def _leaves(classes: DataFrame) -> DataFrame:
         children = written(_split(parents.join(classes.select("class", "sketch"), "class"), False), "children")
         heavy = children.groupBy("parent", "node").agg(F.count("*").alias("m")).groupBy("parent").agg(F.max("m").alias("m"))
         whole = written(heavy.join(large.withColumnRenamed("node", "parent"), "parent").where(F.col("m") >= WHOLE * F.col("n")).select(F.col("parent").alias("whole")), "whole")
+        tables.append(whole)
         done.append(parents.join(whole, parents["node"] == whole["whole"], "left_semi"))
         now = children
     out = done[0]
     for other in done[1:]:
         out = out.unionByName(other)
-    return written(out, "leaves")
+    leaves = written(out, "leaves")
+    discard(spark, *tables)
+    return leaves
 
 
 def _spread(leaves: DataFrame) -> DataFrame:
@@ -392,13 +397,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = signed.where("size = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), "key"
     )
-    return met.select(*alone.columns).unionByName(alone)
+    return met.select(*alone.columns).unionByName(alone), tables
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, whole and with all its columns: that of the smallest doc_id, of these the smallest
     hash of the text. Documents without words all stay."""
-    found = written(near_duplicates(docs).where("n_links > 0"), "near")
+    near, tables = _near(docs)
+    found = written(near.where("n_links > 0"), "near")
+    discard(docs.sparkSession, *tables)
+    release(docs.sparkSession)
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
     first = found.groupBy("class_id").agg(F.min(order).alias("f")).select("class_id", F.col("f.doc_id").alias("first"), F.col("f.key").alias("first_key"))
     met = found.join(first, found["class_id"].eqNullSafe(first["class_id"]))
