@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import boxed, discard, words, written
+from .shared import boxed, discard, small_batches, words, written
 
 #: Words of a window; words of one segment of the index; characters of benchmark text that one broadcast holds.
 WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 20, 16 << 20
@@ -211,24 +211,27 @@ def search(postings: DataFrame, found: Broadcast) -> DataFrame:
                             spans.append({"start": a, "stop": b})
                     owners = {int(o) for w in np.unique(window[i:j]) for o in phrase.owners[phrase.first[w] : phrase.first[w + 1]]}
                     all_items[d] = sorted(phrase.items[o] for o in owners)
-                arrays = [*keys.flatten(), pa.array(segment.ends - begin - 1, pa.int64()), pa.array(all_spans, spans_type), pa.array(all_items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in fields), "n_words", "spans", "items"])
+                done = [summed(s, i) for s, i in zip(all_spans, all_items, strict=True)]
+                cells = [pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+                arrays = [*keys.flatten(), pa.array(segment.ends - begin - 1, pa.int64()), *cells, pa.array(all_spans, spans_type), pa.array(all_items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in fields), *extra.names])
 
-    extra = T._parse_datatype_string(f"n_words long, spans {SPANS}, items array<string>")
+    extra = T._parse_datatype_string(f"n_words long, n_hit long, n_items long, items_sha256 string, spans {SPANS}, items array<string>")
     return postings.mapInArrow(run, T.StructType([*fields, *extra]))
 
 
-def _finish(spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+def summed(spans: list, items: list) -> tuple[int, int, str]:
     """Hit words of the union of the spans, and count and digest of the items."""
-    out = []
-    for each, names in zip(spans, items, strict=True):
-        hit, last = 0, 0
-        for start, stop in sorted((s["start"], s["stop"]) for s in each):
-            hit += max(0, stop - max(start, last))
-            last = max(last, stop)
-        names = sorted(set(names))
-        out.append((hit, len(names), hashlib.sha256(",".join(names).encode("utf-8", "surrogatepass")).hexdigest()))
-    return pd.DataFrame(out, columns=["n_hit", "n_items", "items_sha256"])
+    hit, last = 0, 0
+    for start, stop in sorted((s["start"], s["stop"]) for s in spans):
+        hit += max(0, stop - max(start, last))
+        last = max(last, stop)
+    names = sorted(set(items))
+    return hit, len(names), hashlib.sha256(",".join(names).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _summed(spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([summed(s, i) for s, i in zip(spans, items, strict=True)], columns=["n_hit", "n_items", "items_sha256"])
 
 
 def decontaminate(
@@ -244,9 +247,17 @@ def decontaminate(
     a null item id is the empty string; repeated items count once, repeated rows each; an empty benchmark hits nothing;
     other columns are ignored.
     """
-    spark = docs.sparkSession
+    return _decontaminate(docs, benchmark, keep, text, item, item_text, window, block_chars)[0]
+
+
+def _decontaminate(
+    docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, block_chars: int = BLOCK_CHARS,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """decontaminate, and the written tables that it reads."""
+    spark = small_batches(docs.sparkSession)
     blocks = blocks_of(benchmark, item, item_text, block_chars, window) or [phrases([], {}, window)]
-    kept = list(keep)
+    kept, tables = list(keep), []
     if len(blocks) > 1:  # one more copy of the texts, whose row numbers stay the same for all blocks
         docs, kept = written(docs.select(*keep, text).withColumn("_row", F.monotonically_increasing_id()), "numbered"), [*keep, "_row"]
     hits = []
@@ -256,6 +267,7 @@ def decontaminate(
         if len(blocks) > 1:
             found = written(found, "hits")
             discard(spark, postings)
+        tables.append(found if len(blocks) > 1 else postings)
         hits.append(found)
     found = hits[0]
     if len(hits) > 1:
@@ -264,17 +276,18 @@ def decontaminate(
         found = found.groupBy("_row").agg(
             *(F.first(c).alias(c) for c in [*keep, "n_words"]), *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items"))
         )
-    done = found.withColumn("_done", F.pandas_udf("n_hit long, n_items long, items_sha256 string")(_finish)(F.col("spans"), F.col("items")))
-    return done.select(
-        *keep, "n_words", "_done.n_hit", "_done.n_items", "_done.items_sha256", (F.col("_done.n_hit") > 0).alias("contaminated"), "spans", "items"
-    )
+        found = found.withColumn("_done", F.pandas_udf("n_hit long, n_items long, items_sha256 string")(_summed)("spans", "items")).select("*", "_done.*")
+    out = found.select(*keep, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans", "items")
+    return out, tables
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, whole and with all their columns."""
     box = boxed(docs, doc=F.col("doc_id"), key=F.xxhash64("text"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    hit = decontaminate(keyed, benchmark, ["doc_id", "key"]).where("contaminated").select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key")).distinct()
+    judged, tables = _decontaminate(keyed, benchmark, ["doc_id", "key"])
+    hit = written(judged.where("contaminated").select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key")).distinct(), "contaminated")
+    discard(docs.sparkSession, *tables)
     return box.join(hit, box["doc"].eqNullSafe(hit["hit_doc"]) & (box["key"] == hit["hit_key"]), "left_anti").select("row.*")
 
 
