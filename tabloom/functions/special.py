@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp, gamma, lgamma, log, sqrt
+from math import exp, lgamma, log, sqrt
 
 
 def gamma_tail(a: float, x: float) -> float:
@@ -55,6 +55,3 @@ def digamma(x: float) -> float:
         x += 1
     f = 1 / (x * x)
     return out + log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
-
-
-__all__ = ["chi2_tail", "digamma", "gamma", "gamma_tail", "kolmogorov_tail"]
