@@ -10,13 +10,22 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Bytes of distinct words whose merges one replay holds in memory, and distinct words that a worker remembers.
-REPLAY_BYTES = 4 << 20
-REMEMBERED = 400_000
+from .shared import small_batches, uncollected
+
+#: Positions of a merge up to which they are joined one by one.
+FEW = 16
+#: Bytes of distinct words whose merges one replay holds in memory, and distinct words of one generation (a worker
+#: remembers two, and the words of the block at hand).
+REPLAY_BYTES = 1 << 20
+REMEMBERED = 150_000
 _workers: dict[tuple[str, str], Codec] = {}
 
 
@@ -41,7 +50,10 @@ class Codec:
         self.made = made
         self.pairs = np.array(sorted(made), np.int64)
         self.merged = np.array([made[k] for k in self.pairs.tolist()], np.int64)
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.first = np.array([made.get(int(a) << 32 | int(b), -1) for a in self.byte for b in self.byte], np.int64)  # by pair of bytes
+        self.known: dict[str, str] = {}  # ids in decimal, joined by a space
+        self.older: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}  # what a word decodes to, where that isn't the word
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair of tokens makes, or -1."""
@@ -60,7 +72,8 @@ class Codec:
         order over all words settles, the word is merged by itself.
         """
         sizes = np.array([len(w) for w in words], np.int64)
-        token = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        octets = np.frombuffer(b"".join(words), np.uint8)
+        token = self.byte[octets]
         n = len(token)
         ends = np.cumsum(sizes)
         first, last = (ends - sizes)[sizes > 0], ends[sizes > 0] - 1
@@ -69,15 +82,22 @@ class Codec:
         before[first], after[last] = -1, -1
         made = np.full(n, -1, np.int64)
         pair = np.flatnonzero(after >= 0)
-        made[pair] = self.rank(token[pair], token[pair + 1])
+        made[pair] = self.first[octets[pair].astype(np.int64) << 8 | octets[pair + 1]]
         pair = pair[made[pair] >= 0]
         pair = pair[np.argsort(made[pair], kind="stable")]
         values, cuts = np.unique(made[pair], return_index=True)
-        places = {r: p.tolist() for r, p in zip(values.tolist(), np.split(pair, cuts[1:]), strict=True)}
+        places = {r: pair[a:b].tolist() for r, (a, b) in zip(values.tolist(), pairwise([*cuts.tolist(), len(pair)]), strict=True)}
         queue, alone = values.tolist(), set()
+        token_, before_, after_, made_, word_ = map(memoryview, (token, before, after, made, word_of))
         while queue:
             rank = heappop(queue)
-            i = np.array(places.pop(rank), np.int64)
+            held = places.pop(rank)
+            if len(held) <= FEW:
+                for p in sorted(held):
+                    if made_[p] == rank:
+                        self._merge(rank, p, token_, before_, after_, made_, word_, places, queue, alone)
+                continue
+            i = np.array(held, np.int64)
             i = np.unique(i[made[i] == rank])
             if not len(i):
                 continue
@@ -115,6 +135,26 @@ class Codec:
             out[w] = self.merge_alone(words[w])
         return out
 
+    def _merge(self, rank, i, token, before, after, made, word_of, places, queue, alone) -> None:
+        """The merge of one pair: what `replay` does for many."""
+        j = after[i]
+        k = after[j]
+        token[i], token[j], made[i], made[j], after[i] = rank, -1, -1, -1, k
+        if k >= 0:
+            before[k] = i
+        h = before[i]
+        for p in (i if k >= 0 else -1, h):
+            if p >= 0:
+                new = made[p] = self.made.get(token[p] << 32 | token[after[p]], -1)
+                if new >= 0:
+                    if new <= rank:
+                        alone.add(word_of[p])
+                    elif new in places:
+                        places[new].append(p)
+                    else:
+                        places[new] = [p]
+                        heappush(queue, new)
+
     def merge_alone(self, word: bytes) -> list[int]:
         ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
         while len(ids) > 1:
@@ -127,16 +167,25 @@ class Codec:
         return ids
 
     def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known yet, a bounded number of bytes at a time."""
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(words)
+        """Encodes the words that aren't known yet, a bounded number of bytes at a time. Of those known, the ones that
+        came up since the last change of generation stay at the next."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older, fresh = self.known, self.older, []
+        for w in words:
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    known[w] = ids
         block, held = [], 0
         for w in [*fresh, None]:
             if block and (w is None or held >= REPLAY_BYTES):
-                for word, ids in zip(block, self.replay([b.encode("utf-8") for b in block]), strict=True):
-                    self.known[word] = " ".join(map(str, ids)), self.decode(ids)
+                plain = [b.encode("utf-8") for b in block]
+                for word, octets, ids in zip(block, plain, self.replay(plain), strict=True):
+                    self.known[word] = " ".join(map(str, ids))
+                    if (decoded := self.decode(ids)) != octets:
+                        self.odd[word] = decoded
                 block, held = [], 0
             if w is not None:
                 block.append(w)
@@ -146,13 +195,14 @@ class Codec:
         return b"".join([self.token[i] for i in ids])
 
     def encode_all(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
-        """For each text its ids in decimal, joined by one space, and the bytes that the ids decode to."""
+        """For each text its ids in decimal, joined by one space, and the bytes that the ids decode to: those of its words,
+        each of which was decoded when it was learned."""
         cut = [self.split(text) if text else [] for text in texts]
         self.learn(set().union(*cut))
-        known = self.known
+        known, odd = self.known, self.odd
         for words in cut:
-            pairs = [known[w] for w in words]
-            yield " ".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
+            ids = " ".join([known[w] for w in words])
+            yield ids, b"".join([odd.get(w) or w.encode("utf-8") for w in words]) if odd else "".join(words).encode("utf-8")
 
 
 def _codec(file: str, pattern: str) -> Codec:
@@ -167,7 +217,7 @@ def _ids_row(ids: str, decoded: bytes) -> tuple:
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str = "text",
-    row: Callable[[str, bytes], tuple] = _ids_row, schema: str = "ids array<int>, decoded string", batch_bytes: int = 8 << 20,
+    row: Callable[[str, bytes], tuple] = _ids_row, schema: str = "ids array<int>, decoded string", batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """The columns `keep` of every document, and what `row` makes of its ids and of the bytes decoded from them.
 
@@ -176,26 +226,26 @@ def encode(
     A null or empty text has no ids; repeated rows are encoded each; columns not in `keep` are left out.
     The rank file goes to the executors through Spark's own file server.
     """
-    spark = docs.sparkSession
-    spark.sparkContext.addFile(ranks_path)
+    small_batches(docs.sparkSession).sparkContext.addFile(ranks_path)
     file = ranks_path.rsplit("/", 1)[-1]
     kept = docs.select(*keep, docs[text].alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    names = [x.split()[0] for x in schema.split(", ")]
+    extra = T._parse_datatype_string(schema)
+    types = [f.type for f in to_arrow_schema(extra)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file, pattern)
         for batch in batches:
-            sizes = batch["_text"].str.len().fillna(0).to_numpy()
-            block = (sizes.cumsum() - sizes) // batch_bytes
-            for _, part in batch.groupby(block, sort=True):
-                made = [row(ids, decoded) for ids, decoded in codec.encode_all(part["_text"].tolist())]
-                out = part.drop(columns="_text")
-                for i, name in enumerate(names):
-                    out[name] = [m[i] for m in made]
-                yield out
-
-    return kept.mapInPandas(run, f"{fields}, {schema}")
+            texts = batch.column("_text")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            block = (np.cumsum(sizes) - sizes) // batch_bytes
+            cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(sizes)]
+            for i, j in pairwise(cuts):
+                with uncollected():
+                    made = [row(ids, decoded) for ids, decoded in codec.encode_all(texts.slice(i, j - i).to_pylist())]
+                arrays = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *arrays], [*keep, *extra.names])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], *extra]))
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
