@@ -244,6 +244,7 @@ def encode(
                     made = [row(ids, decoded) for ids, decoded in codec.encode_all(texts.slice(i, j - i).to_pylist())]
                 arrays = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *arrays], [*keep, *extra.names])
+        codec.known, codec.older = {}, {}  # a worker that waits holds the rank file's tables only
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], *extra]))
 
