@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import boxed, discard, small_batches, words, written
+from .shared import boxed, counted, discard, small_batches, words, written
 
 #: Words of a window; words of one segment of the index; characters of benchmark text that one broadcast holds.
 WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 20, 16 << 20
@@ -287,6 +287,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     judged, tables = _decontaminate(keyed, benchmark, ["doc_id", "key"])
     hit = written(judged.where("contaminated").select(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key")).distinct(), "contaminated")
+    hit = counted(hit)
     discard(docs.sparkSession, *tables)
     return box.join(hit, box["doc"].eqNullSafe(hit["hit_doc"]) & (box["key"] == hit["hit_key"]), "left_anti").select("row.*")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import U64, boxed, discard, mix, partitions, release, small_batches, written
+from .shared import U64, boxed, counted, discard, mix, partitions, release, small_batches, written
 from .shingles import shingle_sets
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -191,7 +191,6 @@ def _pairs(table: pa.Table, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """The pairs of rows that this task compares: their sketches agree well enough, and this leaf is the first of all
     that both sets are in."""
     part, low, high = (table.column(c).to_numpy() for c in ("part", "low", "high"))
-    name = np.array(table.column("class").to_pylist(), dtype="S16").astype("S16")
     node = table.column("node")[0].as_py()
     lists = [np.array(x, np.int64) for x in table.column("nodes").to_pylist()]
     a, b = np.flatnonzero(part == low[0]), np.flatnonzero(part == high[0])
@@ -206,7 +205,6 @@ def _pairs(table: pa.Table, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         right.append(j)
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     if len(i):
-        del name
         # earlier leaves that several members share, as bits
         before = [x[x < node] for x in lists]
         shared, count = np.unique(np.concatenate(before), return_counts=True) if before else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -357,12 +355,12 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     1. Documents of equal shingle sets are one class, kept by its first document.
     2. In each of RUNS runs every class goes to the buckets of the tokens that it shares with others by a common
        sample; buckets of more than SMALL sets are split again by samples of their own. Two sets of similarity
-       SIMILARITY meet in a run with a probability of about 0.63 a level, so that over all runs fewer than one pair in
-       500 is lost (one in 20,000 where no bucket is split).
+       SIMILARITY meet in a run with a probability of 0.63 on the first level, 0.47 after one split, 0.31 after three, so
+       that over all runs one pair in ten million is lost where no bucket is split and one in 400 at worst.
     3. In each bucket sketches of TOKENS bits rule out pairs; a pair counts in the first bucket only that both are in.
     4. The shingle sets of those that remain, of whole texts, are brought to their buckets and compared exactly.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     signed, classes = _sign_classes(docs)
     leaves = _leaves(classes)
     release(spark)
@@ -383,7 +381,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class of its own; so has a null doc_id among them. Repeated rows are copies of each other. Other columns are
     ignored; an empty table gives no row.
     """
+    return _near(docs)[0]
+
+
+def _near(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates, and the written tables that it reads."""
     signed, classes, links = join(docs)
+    tables = [signed, classes, links]
     totals = links.groupBy("class").agg(F.sum("documents").alias("documents"))
     roots = components(links.select(F.hex("class").alias("a"), F.hex("other").alias("b")))
     named = classes.join(totals, "class", "left").withColumn("name", F.hex("class"))
@@ -412,6 +416,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     met = found.join(first, found["class_id"].eqNullSafe(first["class_id"]))
     is_first = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("first_key"))
     gone = met.where(~is_first).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_gone")).distinct()
+    gone = counted(written(gone, "gone"))
     twice = met.where(is_first).groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_gone")).count().where("count > 1").drop("count")
     box = boxed(docs, doc=F.col("doc_id"), key=F.xxhash64("text"))
     same = lambda other: box["doc"].eqNullSafe(other["_doc"]) & (box["key"] == other["_gone"])

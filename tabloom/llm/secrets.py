@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import boxed, small_batches, written
+from .shared import boxed, counted, small_batches, written
 
 #: Kinds in listed order; the last is the one that the method adds.
 KINDS = ("assign", "access", "hex", "token")
@@ -152,6 +152,7 @@ def redact_live(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "source", F.xxhash64("text").alias("key"), "text")
     found = scan_secrets(keyed, extra=["key"]).where("n_live > 0")
     found = found.groupBy(F.col("doc_id").alias("hit_doc"), F.col("key").alias("hit_key")).agg(F.first("live_spans").alias("spans"))
+    found = counted(written(found, "live"), F.size("spans"))
     box = boxed(docs, doc=F.col("doc_id"), key=F.xxhash64("text"), text=F.col("text"))
     met = box.join(found, box["doc"].eqNullSafe(found["hit_doc"]) & (box["key"] == found["hit_key"]), "left")
 

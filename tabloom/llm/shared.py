@@ -35,6 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Counted rows and array entries up to which a written table of ids is broadcast; some 100 bytes each.
+BROADCAST_ROWS = 200_000
+
+
+def counted(table: DataFrame, entries: Column | None = None) -> DataFrame:
+    """A written table, to be broadcast if its counted rows, and entries in them, are few; otherwise it is joined by
+    shuffling."""
+    size = table.agg(F.count("*") + (F.coalesce(F.sum(entries), F.lit(0)) if entries is not None else F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST_ROWS else table
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     jvm = spark._jvm
