@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import boxed, small_batches, words
+from .shared import boxed, small_batches, words, written
 
 #: Buckets that words and their beginnings are hashed to; rows of the embedding at most, its width; filter widths, and filters of each.
 BUCKETS, ROWS, DIM, WIDTHS, FILTERS = 1 << 24, 1 << 17, 12, (1, 2, 3), 12
@@ -21,6 +21,8 @@ BUCKETS, ROWS, DIM, WIDTHS, FILTERS = 1 << 24, 1 << 17, 12, (1, 2, 3), 12
 PREFIXES, LEAST_DOCS = (4, 5, 6, 7, 8, 9), 5
 #: At most so many labelled documents of each class are fitted, and so many characters of text in all.
 SAMPLE, SAMPLE_CHARS = (1500, 3000), 32 << 20
+#: Steps of a logit by which scores are counted for the calibration.
+STEPS = 1024
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 32, 0.01, 1e-4, 7
 #: Words that a worker remembers the rows of.
 REMEMBERED = 150_000
@@ -77,6 +79,7 @@ class Model:
     out_bias: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)  # Platt
     thresholds: dict[str, float] = field(default_factory=dict)
+    fitted: list = field(default_factory=list)  # the rows that the weights come from; `train` puts their ids here
 
     @staticmethod
     def start(rows: dict[int, int], seed: int = SEED) -> Model:
@@ -123,7 +126,7 @@ class Model:
 def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], seed: int = SEED, epochs: int = EPOCHS) -> Model:
     """Fits on whole texts with Adam, then calibrates on a fifth that was kept apart: Platt's scale for the score, and
     for each language the threshold of the best F1 there (the common one where a language has fewer than 20 rows or
-    one class only)."""
+    one class only). `fitted` has the rows outside that fifth."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
     if len(texts) == 0 or y.min() == y.max():
@@ -177,26 +180,40 @@ def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], se
                 p[spot] -= rate * grow * m[spot] / (np.sqrt(v[spot]) + 1e-8)
             model.embedding[0] = 0
     logit = np.concatenate([model.logits(pack([texts[j] for j in apart[i : i + 64]], hasher)) for i in range(0, len(apart), 64)])
-    model.scale = platt(logit, y[apart])
-    score = sigmoid(model.scale[0] * logit + model.scale[1])
-    model.thresholds = {"": best_threshold(score, y[apart])}
-    held = np.array([langs[i] or "" for i in apart])
-    for lang in sorted(set(held) - {""}):
-        of = held == lang
-        if of.sum() >= 20 and 0 < y[apart][of].sum() < of.sum():
-            model.thresholds[lang] = best_threshold(score[of], y[apart][of])
+    _set_scale(model, logit, y[apart], np.array([langs[i] or "" for i in apart]), np.ones(len(apart)))
+    model.fitted = sorted(train.tolist())
     return model
 
 
-def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _set_scale(model: Model, logit: np.ndarray, y: np.ndarray, langs: np.ndarray, n: np.ndarray, share: tuple[float, float] = (1.0, 1.0)) -> None:
+    """Platt's scale and the thresholds from logits that stand for n rows each, which weigh share[class] each."""
+
+    def merged(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each, which = np.unique(np.stack([logit[of], y[of]], 1), axis=0, return_inverse=True)
+        return each[:, 0], each[:, 1], np.bincount(which.ravel(), n[of]) * np.where(each[:, 1] > 0, share[1], share[0])
+
+    def threshold(of: np.ndarray) -> float:
+        x, of_class, weight = merged(of)
+        return best_threshold(sigmoid(model.scale[0] * x + model.scale[1]), of_class, weight)
+
+    model.scale = platt(*merged(np.ones(len(y), bool)))
+    model.thresholds = {"": threshold(np.ones(len(y), bool))}
+    for lang in sorted(set(langs) - {""}):
+        of = langs == lang
+        if n[of].sum() >= 20 and y[of].min() < y[of].max():
+            model.thresholds[lang] = threshold(of)
+
+
+def platt(logit: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset by Newton steps, with Platt's smoothed targets."""
-    pos, neg = y.sum(), len(y) - y.sum()
+    weight = np.ones(len(y)) if weight is None else weight
+    pos, neg = (weight * y).sum(), (weight * (1 - y)).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = sigmoid(a * logit + b)
-        g = np.array([((p - target) * logit).sum() + 1e-3 * (a - 1), (p - target).sum()])
-        w = p * (1 - p) + 1e-9
+        g = np.array([(weight * (p - target) * logit).sum() + 1e-3 * (a - 1), (weight * (p - target)).sum()])
+        w = weight * (p * (1 - p) + 1e-9)
         h = np.array([[(w * logit * logit).sum() + 1e-3, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-6]])
         move = np.linalg.solve(h, g)
         a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
@@ -205,11 +222,12 @@ def platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts of highest F1."""
-    order = np.argsort(-score)
-    s, hit = score[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
+def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The middle of the widest gap among the cuts of highest F1. Equal scores are on one side of a cut."""
+    weight = np.ones(len(y)) if weight is None else weight
+    order = np.argsort(-score, kind="stable")
+    s, hit = score[order], np.cumsum((weight * y)[order])
+    f1 = np.where(np.append(s[1:] < s[:-1], True), 2 * hit / (np.cumsum(weight[order]) + hit[-1]), -1.0)
     top = np.flatnonzero(f1 >= f1.max() - 1e-12)
     below = np.append(s[1:], 0.0)[top]
     k = int(np.argmax(s[top] - below))
@@ -221,11 +239,16 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the rows that may be learned from."""
+    return labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from a bounded sample of labelled rows: at most sample[label] of each class ((toxic, other)), in order of
     a hash of their ids, and at most `sample_chars` characters. Nothing held out is fitted. A document with several
     labels counts as toxic if one of them says so."""
-    each = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    each = _labelled(labels)
     picked = None
     for most, rows in zip(sample, (each.where("toxic = 1"), each.where("toxic = 0")), strict=True):
         rows = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
@@ -241,11 +264,36 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
         if (r["doc_id"], r["text"]) not in seen:
             seen.add((r["doc_id"], r["text"]))
             rows.append(r)
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang"] for r in rows])
+    model = fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang"] for r in rows])
+    model.fitted = sorted({rows[i]["doc_id"] for i in model.fitted})
+    return model
 
 
-def apply(docs: DataFrame, model: Model, keep: list[str], text: str = "text", block_chars: int = 2 << 20) -> DataFrame:
-    """The columns `keep` and the score of each whole text, in one pass without a shuffle. The model's size is fixed."""
+def calibrate(model: Model, scored: DataFrame, labels: DataFrame) -> Model:
+    """The model with its scale and thresholds learned anew, from (doc_id, lang, key, logit) of all documents: every
+    labelled row counts that is neither held out nor fitted, however many there are. The fitted sample has a mix of
+    classes of its own, so the rest weighs by class as all labelled rows do. Where the rest lacks a class, the fitted
+    rows count too. Logits are counted in steps of 1 / STEPS."""
+    if not model.thresholds:
+        return model
+    fitted = scored.sparkSession.createDataFrame([(i,) for i in model.fitted], T.StructType([T.StructField("doc_id", scored.schema["doc_id"].dataType)]))
+    rows = scored.join(_labelled(labels), "doc_id").dropDuplicates(["doc_id", "key"]).join(F.broadcast(fitted.withColumn("fitted", F.lit(True))), "doc_id", "left")
+    step = F.round(F.greatest(F.least(F.col("logit"), F.lit(100.0)), F.lit(-100.0)) * STEPS).cast("int")
+    found = rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", F.coalesce("fitted", F.lit(False)).alias("fitted"), step.alias("step")).count().toPandas()
+    every = found.groupby("toxic")["count"].sum()
+    if found[~found["fitted"]]["toxic"].nunique() == 2:
+        found = found[~found["fitted"]]
+    own = found.groupby("toxic")["count"].sum()
+    share = every / own * own.sum() / every.sum()
+    step, y, n = (found[c].to_numpy(float) for c in ("step", "toxic", "count"))
+    _set_scale(model, step / STEPS, y, found["lang"].to_numpy(object), n, (share[0], share[1]))
+    return model
+
+
+def apply(docs: DataFrame, model: Model, keep: list[str], text: str = "text", block_chars: int = 2 << 20, as_logit: bool = False) -> DataFrame:
+    """The columns `keep` and the score of each whole text (or the logit before calibration), in one pass without a
+    shuffle. The model's size is fixed."""
+    name = "logit" if as_logit else "score"
     shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col(text).alias("_text"))
 
@@ -258,12 +306,18 @@ def apply(docs: DataFrame, model: Model, keep: list[str], text: str = "text", bl
                 block.append(content := cell.as_py())
                 held += len(content or "")
                 if held >= block_chars or i + 1 == batch.num_rows:
-                    scores.append(fitted.score(pack(block, hasher)))
+                    scores.append((fitted.logits if as_logit else fitted.score)(pack(block, hasher)))
                     block, held = [], 0
             done = pa.array(np.concatenate(scores) if scores else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], [*keep, name])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField(name, T.DoubleType())]))
+
+
+def _scaled(model: Model) -> Column:
+    """The score of a logit."""
+    x = F.lit(model.scale[0]) * F.col("logit") + F.lit(model.scale[1])
+    return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -277,20 +331,27 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    scored = written(apply(docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("key")), model, ["doc_id", "lang", "key"], as_logit=True), "logits")
+    model = calibrate(model, scored, labels)
     common = model.thresholds.get("", THRESHOLD)
     threshold = F.lit(common)
     for lang, t in model.thresholds.items():
         if lang:
             threshold = F.when(F.col("lang") == lang, F.lit(t)).otherwise(threshold)
-    return apply(docs, model, ["doc_id", "lang"]).select(
+    return scored.withColumn("score", _scaled(model)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         threshold.alias("lang_threshold"), (F.col("score") >= threshold).cast("int").alias("lang_toxic"),
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score stays below THRESHOLD, whole and with all their columns."""
-    return apply(boxed(docs), train(docs, labels), ["row"], "row.text").where(F.col("score") < THRESHOLD).select("row.*")
+    """The documents whose score stays below THRESHOLD, whole and with all their columns. They are scored once and
+    written with their logits, which the calibration reads before any document is kept or dropped."""
+    model = train(docs, labels)
+    scored = written(apply(boxed(docs), model, ["row"], "row.text", as_logit=True), "logits")
+    lang = F.col("row.lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    model = calibrate(model, scored.select(F.col("row.doc_id").alias("doc_id"), lang.alias("lang"), F.xxhash64("row.text").alias("key"), "logit"), labels)
+    return scored.where(_scaled(model) < THRESHOLD).select("row.*")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

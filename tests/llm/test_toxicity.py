@@ -71,3 +71,19 @@ def test_calibration():
     a, b = platt(x, y)
     assert abs(a - 2) < 0.6 and abs(b + 1) < 0.5
     assert 0.3 < best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1.0, 1, 0, 0])) < 0.7
+
+
+def test_scores_follow_the_mix_of_all_labels(spark, monkeypatch):
+    from functools import partial
+
+    from tabloom.llm import toxicity
+
+    texts, bad = made(3000, 3)
+    y = (np.random.default_rng(3).random(len(bad)) < np.where(bad, 0.6, 0.05)).astype(int)
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(list(enumerate(y.tolist())), "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", partial(train, sample=(150, 150)))
+    rows = score_documents(docs, labels).toPandas()
+    assert abs(rows.score.mean() - y.mean()) < 0.04
+    kept = {r.doc_id for r in drop_toxic(docs, labels).collect()}
+    assert kept == set(rows[rows.predicted == 0].doc_id)
