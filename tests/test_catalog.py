@@ -41,3 +41,8 @@ def test_same_rows_as_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_models_see_the_whole_table_by_unique_ids(spark):
+    rows, _ = catalog._frame(spark, SF)
+    assert rows.count() == rows.select("id").distinct().count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
