@@ -163,8 +163,10 @@ def firsts(seen: dict) -> tuple[dict, np.ndarray]:
     kind = step("anchor", "around", "check")
     lowest = many["doc"][kind][np.cumsum(kind) - 1]
     first = (kind | step("doc", "text")) & (many["doc"] == lowest)
-    keep = kind | step("doc", "text", "at")  # a row that is there twice is one
-    together = {name: np.concatenate([many[name][keep], alone[name]]) for name in many}
+    keep = kind | step("doc", "text", "at")  # a row that is there twice is one; rows of two slices have its starts between them
+    begun = np.flatnonzero(keep)
+    merged = take(many, begun) | {"low": np.maximum.reduceat(many["low"], begun), "high": np.minimum.reduceat(many["high"], begun)}
+    together = {name: np.concatenate([merged[name], alone[name]]) for name in many}
     return together, np.concatenate([first[keep], np.ones(len(alone["at"]), bool)])
 
 

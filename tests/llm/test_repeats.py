@@ -94,3 +94,20 @@ def test_slices_of_a_long_text_have_the_anchors_of_the_whole(monkeypatch):
     rows = lambda o: {tuple(int(o[c][i]) for c in ("anchor", "around", "check", "at", "left", "right")) for i in range(len(o["at"]))}
     assert rows(one) == rows(cut)
     assert {n for n, _ in SEEN} == set(firsts(one)[0])
+
+
+def test_an_anchor_across_a_cut_keeps_the_starts_of_both_slices(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    passage, cut = letters(140), repeats.SLICE
+    long = letters(cut - 20) + passage + letters(300)
+    rows = [(1, long.decode()), (2, (letters(150) + passage + letters(150)).decode())]
+    got = {r.doc_id: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 140}
+
+    text = letters(30_000)
+    twice = [text, b"x" + text]
+    rows = lambda o: sorted(zip(*(o[c].tolist() for c, _ in SEEN), strict=True))
+    one = firsts(occurrences(twice, np.array([1, 2]), np.array([2, 3])))[0]
+    monkeypatch.setattr(repeats, "SLICE", 7_001)
+    assert rows(one) == rows(firsts(occurrences(twice, np.array([1, 2]), np.array([2, 3])))[0])
