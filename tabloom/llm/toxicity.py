@@ -132,7 +132,7 @@ def fit(texts: list[str | None], labels: np.ndarray, langs: list[str | None], se
     if len(texts) == 0 or y.min() == y.max():
         model = Model.start({}, seed)
         model.out[:] = 0
-        model.scale = (0.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
+        model.scale = (0.0, -30.0)
         return model
     order = rng.permutation(len(y))
     apart, train = order[: len(y) // 5], order[len(y) // 5 :]
@@ -246,7 +246,8 @@ def _labelled(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from a bounded sample of labelled rows: at most sample[label] of each class ((toxic, other)), in order of
-    a hash of their ids, and at most `sample_chars` characters. Nothing held out is fitted. A document with several
+    a hash of their ids, and at most `sample_chars` characters; a text that doesn't fit any more is passed over, and the
+    calibration scores it. Nothing held out is fitted. A document with several
     labels counts as toxic if one of them says so."""
     each = _labelled(labels)
     picked = None
@@ -258,10 +259,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     chosen = texts.join(F.broadcast(picked), "doc_id")
     rows, held, seen = [], 0, set()
     for r in sorted(chosen.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "")):
-        held += len(r["text"] or "")
-        if held > sample_chars:
-            break
-        if (r["doc_id"], r["text"]) not in seen:
+        size = len(r["text"] or "")
+        if held + size <= sample_chars and (r["doc_id"], r["text"]) not in seen:
+            held += size
             seen.add((r["doc_id"], r["text"]))
             rows.append(r)
     model = fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang"] for r in rows])
@@ -325,8 +325,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     calibrated for its language, lang_threshold and lang_toxic.
 
     The language chooses a threshold and is no input of the score; nor is any other column than the text. Null and
-    empty texts score as a text of no words. Without labels of both classes all scores are the smoothed share of the
-    toxic ones. Repeated rows score alike; labels of unknown documents and null labels are ignored; extra columns too.
+    empty texts score as a text of no words. Without labels of both classes nothing is known and nothing rejected:
+    all scores are next to 0. Repeated rows score alike; labels of unknown documents and null labels are ignored; extra columns too.
     """
     model = train(docs, labels)
     if "lang" not in docs.columns:

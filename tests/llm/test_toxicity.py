@@ -87,3 +87,16 @@ def test_scores_follow_the_mix_of_all_labels(spark, monkeypatch):
     assert abs(rows.score.mean() - y.mean()) < 0.04
     kept = {r.doc_id for r in drop_toxic(docs, labels).collect()}
     assert kept == set(rows[rows.predicted == 0].doc_id)
+
+
+def test_a_text_over_the_budget_ends_no_sample_and_one_class_rejects_nothing(spark):
+    texts, y = made(300, 4)
+    first = min((i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: zlib.crc32(str(i).encode()))
+    texts[first] = "w1 " * 40_000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y.tolist())), "doc_id long, toxic int")
+    model = train(docs, labels, sample_chars=100_000)
+    assert model.rows and model.thresholds
+    for some in (labels.where("false"), labels.where("toxic = 1"), labels.where("toxic = 0").limit(1)):
+        rows = score_documents(docs, some).collect()
+        assert len(rows) == 300 and not any(r.predicted or r.lang_toxic for r in rows) and drop_toxic(docs, some).count() == 300
