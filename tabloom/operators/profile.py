@@ -270,9 +270,9 @@ def categorical_target_association(df: DataFrame, features: Sequence[str], targe
     )
 
 
-def mutual_information_scores(df: DataFrame, features: Sequence[str], target: str, problem_type: str = "classification", n_neighbors: int = 3, sample: int = 50_000, seed: int = 17) -> dict[str, float]:
+def mutual_information_scores(df: DataFrame, features: Sequence[str], target: str, problem_type: str = "classification", n_neighbors: int = 3, seed: int = 17) -> dict[str, float]:
     """Mutual information of each column with the target, in nats, falling. Discrete pairs are exact and native; a
-    continuous side uses nearest neighbours along one dimension on at most `sample` rows of the lowest hash."""
+    continuous side uses nearest neighbours among all rows, whose columns are brought to the driver as doubles."""
     from ..functions.neighbours import continuous_information
 
     require(df, [*features, target])
@@ -289,9 +289,10 @@ def mutual_information_scores(df: DataFrame, features: Sequence[str], target: st
     if rest:
         cols = [number(df, f).alias(f) if is_numeric(df.schema[f].dataType) else F.xxhash64(quoted(f)).alias(f) for f in rest]
         y = number(df, target) if problem_type == "regression" else F.xxhash64(quoted(target).cast("string"))
-        picked = df.select(*cols, y.alias("_y")).dropna().orderBy(F.xxhash64(F.lit(seed), *[quoted(f) for f in rest])).limit(sample).toPandas()
+        picked = df.select(*cols, y.alias("_y")).dropna()
+        picked = picked.orderBy(*[quoted(c) for c in picked.columns]).toArrow()
         for f in rest:
-            scores[f] = continuous_information(picked[f].to_numpy(), picked["_y"].to_numpy(), is_numeric(df.schema[f].dataType), problem_type == "regression", n_neighbors, seed)
+            scores[f] = continuous_information(picked.column(f).to_numpy(), picked.column("_y").to_numpy(), is_numeric(df.schema[f].dataType), problem_type == "regression", n_neighbors, seed)
     return dict(sorted(((f, scores.get(f, 0.0)) for f in features), key=lambda x: (-x[1], x[0])))
 
 

@@ -228,7 +228,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mutual_information_continuous")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = profile.mutual_information_scores(load(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_returnflag"], "l_extendedprice", "regression", sample=5000)
+    found = profile.mutual_information_scores(load(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_returnflag"], "l_extendedprice", "regression")
     return table_of(spark, list(found.items()), "feature string, score double")
 
 
@@ -770,5 +770,5 @@ _elimination("mutual_information_rfe", lambda f: select.MutualInformationRecursi
 _elimination("model_importance_rfe", lambda f: select.ModelImportanceRecursiveFeatureElimination(_RF(), _cv(f), 2))
 _elimination("model_importance_filtering", lambda f: select.ModelImportanceFiltering(_RF(), _cv(f), 0.01))
 _elimination("permutation_rfe", lambda f: select.PermutationRecursiveFeatureElimination(_LR(), _cv(f), 2, 1))
-_elimination("shap_rfe", lambda f: select.ShapRecursiveFeatureElimination(_RF(), _cv(f), 2, 2000))
+_elimination("shap_rfe", lambda f: select.ShapRecursiveFeatureElimination(_RF(), _cv(f), 2))
 

@@ -200,3 +200,21 @@ def test_a_fitted_operator_on_a_stream(spark, tmp_path):
     fitted = encode.CountEncoder(["k"]).fit(rows)
     write_stream(stream_table(spark, str(tmp_path / "in"), rows), fitted, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert column(spark.read.parquet(str(tmp_path / "out")), "CE_k") == [5] * 10
+
+
+def test_mutual_information_counts_every_row(spark):
+    import inspect
+
+    from tabloom.functions.neighbours import _reach
+    from tabloom.operators.profile import mutual_information_scores
+    from tabloom.operators.select import ShapRecursiveFeatureElimination
+    from tabloom.plans import catalog
+
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(size=(700, 2)), np.stack([np.repeat(np.arange(5.0), 60), rng.random(300)], 1), [[90.0, 90.0]]])
+    apart = np.abs(points[:, None] - points[None]).max(-1)
+    assert np.array_equal(_reach(points, 3), np.partition(apart, 3, axis=1)[:, 3])
+    assert "sample" not in inspect.signature(mutual_information_scores).parameters
+    text = inspect.getsource(catalog)
+    assert "sample=5000" not in text and "_cv(f), 2, 2000)" not in text
+    assert inspect.signature(ShapRecursiveFeatureElimination).parameters["max_samples_shap"].default == 50_000
