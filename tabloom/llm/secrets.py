@@ -23,8 +23,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a maximal run: with 20 characters or more
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Bits per character from which a value looks random, and the number of owners from which it is a copied example.
-LIVE_BITS, WIDE_OWNERS = 2.5, 3
+#: Bits per character from which a value looks random, and the numbers of owners, and of repositories of fewer owners,
+#: from which it is a copied example.
+LIVE_BITS, WIDE_OWNERS, WIDE_REPOSITORIES = 2.5, 3, 100
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your|x{4}|0{8}|1234567", re.IGNORECASE)
 FINDING = "array<struct<kind:int,start:int,stop:int,hash:string,live:boolean>>"
 
@@ -101,11 +102,13 @@ def _spans(findings: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", owner: str = "source", text: str = "text", wide: int = WIDE_OWNERS, extra: list[str] = ()) -> DataFrame:
-    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example and live_spans.
+    """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live_spans and owned.
 
     Candidate values are hashed and counted by distinct repositories (documents) and owners over the whole corpus.
-    A value of `wide` owners or more is a copied example; one of fewer owners that looks random is live. A token span is
-    added where its value is no copied example; base spans always stay. live_spans has start and stop of live findings.
+    A value of `wide` owners or more, or of WIDE_REPOSITORIES repositories, is a copied example; any other that looks
+    random is live. A token span is
+    added where its value is no copied example; base spans always stay. live_spans has start and stop of live findings, owned
+    start, stop, n_owners and n_repositories of all.
     A null text is empty; a null owner counts for no owner; repeated rows are scanned each and count as one repository;
     other columns are ignored; an empty table gives no row. Only findings are shuffled, never texts; a hash that many
     rows share meets its counts in a join whose large partitions Spark may split.
@@ -114,7 +117,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", owner: str = "source",
     found = written(find(docs, names, text).withColumn("row", F.monotonically_increasing_id()), "secrets")
     owners = ownership(found, id_col, owner)
     each = found.select("row", F.explode("findings").alias("f")).select("row", "f", F.col("f.hash").alias("hash"))
-    judged = each.join(owners, "hash").withColumn("example", F.col("n_owners") >= wide)
+    judged = each.join(owners, "hash").withColumn("example", (F.col("n_owners") >= wide) | (F.col("n_repositories") >= WIDE_REPOSITORIES))
     per_row = judged.groupBy("row").agg(
         F.array_sort(
             F.collect_list(
@@ -125,6 +128,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", owner: str = "source",
             )
         ).alias("kept"),
         F.sum(F.col("example").cast("long")).alias("n_example"),
+        F.array_sort(F.collect_list(F.struct("f.start", "f.stop", "n_owners", "n_repositories"))).alias("owned"),
     )
     all_kept = F.coalesce(F.col("kept"), F.array().cast("array<struct<start:int,kind:int,stop:int,live:boolean>>"))
     live = F.filter(all_kept, lambda f: f["live"])
@@ -133,6 +137,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", owner: str = "source",
         _spans(all_kept).alias("spans"), F.size(live).cast("long").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
         F.transform(live, lambda f: F.struct(f["start"].alias("start"), f["stop"].alias("stop"))).alias("live_spans"),
+        F.coalesce("owned", F.array().cast("array<struct<start:int,stop:int,n_owners:long,n_repositories:long>>")).alias("owned"),
     )
 
 
@@ -172,4 +177,4 @@ def redact_live(docs: DataFrame) -> DataFrame:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("live_spans")
+    return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("live_spans", "owned")

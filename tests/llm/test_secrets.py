@@ -50,3 +50,13 @@ def test_redaction_keeps_rows_and_columns(awkward):
     assert {r.text for r in out.where("doc_id = 10").collect()} == {"[SECRET] and token: abc"}
     assert out.where("n_chars <> length(coalesce(text, ''))").count() == 0
     assert redact("abcdef", [{"start": 1, "stop": 3}, {"start": 2, "stop": 4}]) == "a[SECRET]ef"
+
+
+def test_a_value_of_many_repositories_of_one_owner_is_a_copied_example(spark):
+    hot, own = "Aq1Zw2Sx3Ed4Cr5Fv6Gt", "Zq8xT2vLm4Rk7Wp1Ns9B"
+    docs = spark.createDataFrame([(i, f"see {hot} here" + (f" and {own}" if i < 5 else ""), "one") for i in range(120)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in scan_secrets(docs).collect()}
+    assert got[9].n_example == 1 and got[9].n_live == 0 and got[0].n_live == 1
+    assert [(o.n_owners, o.n_repositories) for o in got[0].owned] == [(1, 120), (1, 5)]
+    out = {r.doc_id: r.text for r in redact_live(docs).collect()}
+    assert hot in out[9] and own not in out[0]
