@@ -218,3 +218,18 @@ def test_mutual_information_counts_every_row(spark):
     text = inspect.getsource(catalog)
     assert "sample=5000" not in text and "_cv(f), 2, 2000)" not in text
     assert inspect.signature(ShapRecursiveFeatureElimination).parameters["max_samples_shap"].default == 50_000
+
+
+def test_smote_takes_neighbours_of_the_whole_class(spark):
+    x = np.random.default_rng(9).uniform(-1, 1, (10_001, 4))
+    rows = [(i, "b", *p) for i, p in enumerate(x.tolist())] + [(20_000 + i, "a", *[0.0] * 4) for i in range(10_040)]
+    df = spark.createDataFrame(rows, "id long, y string, " + ", ".join(f"x{i} double" for i in range(4)))
+    out = sample.smote(df, "y", "id", k=1).where("id < 0").toPandas()
+    assert len(out) == 39 and out.id.is_unique
+    x = x / np.array([r[2:] for r in rows]).std(0, ddof=1)
+    std = np.array([r[2:] for r in rows]).std(0, ddof=1)
+    near = np.concatenate([np.argsort(((x[i : i + 200, None] - x) ** 2).sum(-1), 1)[:, 1] for i in range(0, len(x), 200)])
+    step = x[near] - x
+    for p in out[[f"x{i}" for i in range(4)]].to_numpy() / std:
+        along = np.clip(((p - x) * step).sum(1) / (step**2).sum(1), 0, 1)
+        assert np.abs(x + along[:, None] * step - p).max(1).min() < 1e-6
