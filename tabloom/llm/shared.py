@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +21,26 @@ U64 = np.uint64
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors that the session names; a folder of our own only where it names none."""
+    """The folder shared by driver and executors that the session names; a folder of our own only where it names none and
+    driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tabloom"
 
 
+#: Bytes of a row group of a written table: what a writing task buffers.
+ROW_GROUP_BYTES = 16 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later jobs start from its files, so a lost executor costs only its own tasks."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +83,26 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: a Python worker outlives its task, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """What mapInArrow calls: `run`, and once its task ends, the worker keeps none of the task's memory."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 @contextmanager
 def uncollected() -> Iterator[None]:
     """No search for reference cycles while millions of plain strings come and go that are in none."""
