@@ -6,27 +6,27 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import small_batches, uncollected
+from .shared import small_batches, tidied, uncollected
 
 #: Positions of a merge up to which they are joined one by one.
 FEW = 16
-#: Bytes of distinct words whose merges one replay holds in memory, and distinct words of one generation (a worker
+#: Bytes of distinct words whose merges one replay holds in memory, and distinct words of one generation (a task
 #: remembers two, and the words of the block at hand).
-REPLAY_BYTES = 1 << 20
-REMEMBERED = 150_000
-_workers: dict[tuple[str, str], Codec] = {}
+REPLAY_BYTES = 1 << 19
+REMEMBERED = 100_000
+#: Characters from which a text is encoded by itself, so many words of it at a time.
+LONG, RUN = 1 << 20, 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,22 +38,34 @@ class Codec:
     """Encoder and decoder of one rank file. Words are encoded in sets: `replay` merges all new words of a block together."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.token = {rank: token for token, rank in ranks.items()}
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         made = {}  # every pair of tokens that makes a token
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     made[left << 32 | right] = rank
-        self.made = made
-        self.pairs = np.array(sorted(made), np.int64)
-        self.merged = np.array([made[k] for k in self.pairs.tolist()], np.int64)
-        self.first = np.array([made.get(int(a) << 32 | int(b), -1) for a in self.byte for b in self.byte], np.int64)  # by pair of bytes
-        self.known: dict[str, str] = {}  # ids in decimal, joined by a space
-        self.older: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}  # what a word decodes to, where that isn't the word
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        pairs = np.array(sorted(made), np.int64)
+        self._open(pattern, tokens, pairs, np.array([made[k] for k in pairs.tolist()], np.int64), made)
+
+    def _open(self, pattern: str, tokens: list[bytes], pairs: np.ndarray, merged: np.ndarray, made: dict[int, int]) -> None:
+        self.pattern, self.tokens, self.pairs, self.merged, self.made = pattern, tokens, pairs, merged, made
+        compiled = regex.compile(pattern)
+        self.split, self.matches = compiled.findall, compiled.finditer
+        number = {token: i for i, token in enumerate(tokens) if len(token) == 1}
+        self.byte = np.array([number[bytes([b])] for b in range(256)], np.int64)
+        self.first = self.rank(np.repeat(self.byte, 256), np.tile(self.byte, 256))  # by pair of bytes
+        self.decimal = [str(i) for i in range(len(tokens))]
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
+
+    def __getstate__(self) -> tuple:
+        return self.pattern, self.tokens, self.pairs, self.merged
+
+    def __setstate__(self, state: tuple) -> None:
+        self._open(*state, dict(zip(state[2].tolist(), state[3].tolist(), strict=True)))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair of tokens makes, or -1."""
@@ -181,99 +193,114 @@ class Codec:
         block, held = [], 0
         for w in [*fresh, None]:
             if block and (w is None or held >= REPLAY_BYTES):
-                plain = [b.encode("utf-8") for b in block]
-                for word, octets, ids in zip(block, plain, self.replay(plain), strict=True):
-                    self.known[word] = " ".join(map(str, ids))
-                    if (decoded := self.decode(ids)) != octets:
-                        self.odd[word] = decoded
+                for word, ids in zip(block, self.replay([b.encode("utf-8") for b in block]), strict=True):
+                    known[word] = np.array(ids, np.uint32).tobytes()
                 block, held = [], 0
             if w is not None:
                 block.append(w)
                 held += len(w)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.token[i] for i in ids])
+        return b"".join([self.tokens[i] for i in ids])
+
+    def decimals(self, ids: list[int]) -> str:
+        return " ".join([self.decimal[i] for i in ids])
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
-        """For each text its ids in decimal, joined by one space, and the bytes that the ids decode to: those of its words,
-        each of which was decoded when it was learned."""
-        cut = [self.split(text) if text else [] for text in texts]
-        self.learn(set().union(*cut))
-        known, odd = self.known, self.odd
-        for words in cut:
-            ids = " ".join([known[w] for w in words])
-            yield ids, b"".join([odd.get(w) or w.encode("utf-8") for w in words]) if odd else "".join(words).encode("utf-8")
+    def _blocks(self, texts: list[str | None], most: int) -> Iterator[list[str]]:
+        block, held = [], 0
+        for text in [*(t or "" for t in texts), None]:
+            if block and (text is None or held >= most or len(text) >= LONG):
+                yield block
+                block, held = [], 0
+            if text is not None:
+                block.append(text)
+                held += len(text)
+                if len(text) >= LONG:
+                    yield block
+                    block, held = [], 0
+
+    def encode_all(self, texts: list[str | None], most: int = 2 << 20) -> Iterator[Iterator[list[int]]]:
+        """For each text its ids in order, in lists of a bounded length; to be read before the next text's."""
+        for block in self._blocks(texts, most):
+            if len(block[0]) >= LONG:
+                yield self._long(block[0])
+                continue
+            cut = [self.split(text) for text in block]
+            self.learn(set().union(*cut))
+            known = self.known
+            for words in cut:
+                yield iter([np.frombuffer(b"".join([known[w] for w in words]), np.uint32).tolist()])
 
+    def _long(self, text: str) -> Iterator[list[int]]:
+        found = (m[0] for m in self.matches(text))
+        while words := list(islice(found, RUN)):
+            self.learn(set(words))
+            yield np.frombuffer(b"".join([self.known[w] for w in words]), np.uint32).tolist()
 
-def _codec(file: str, pattern: str) -> Codec:
-    if (file, pattern) not in _workers:
-        _workers[file, pattern] = Codec(read_ranks(SparkFiles.get(file)), pattern)
-    return _workers[file, pattern]
 
+def _whole(codec: Codec, parts: Iterator[list[int]]) -> tuple:
+    ids = [i for part in parts for i in part]
+    return ids, codec.decode(ids).decode("utf-8", "replace")
 
-def _ids_row(ids: str, decoded: bytes) -> tuple:
-    return [int(i) for i in ids.split()], decoded.decode("utf-8", "replace")
+
+def _digest(codec: Codec, parts: Iterator[list[int]]) -> tuple:
+    """Number of ids, digests of the ids and of the bytes that they decode to."""
+    n, named, decoded = 0, hashlib.sha256(), hashlib.sha256()
+    for ids in parts:
+        if ids:
+            named.update(((" " if n else "") + codec.decimals(ids)).encode())
+            decoded.update(codec.decode(ids))
+            n += len(ids)
+    return n, named.hexdigest(), decoded.hexdigest()
 
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, keep: list[str], text: str = "text",
-    row: Callable[[str, bytes], tuple] = _ids_row, schema: str = "ids array<int>, decoded string", batch_bytes: int = 4 << 20,
+    row: Callable[[Codec, Iterator[list[int]]], tuple] = _whole, schema: str = "ids array<int>, decoded string",
 ) -> DataFrame:
-    """The columns `keep` of every document, and what `row` makes of its ids and of the bytes decoded from them.
+    """The columns `keep` of every document, and what `row` makes of its ids: by default the ids, and the text that is
+    decoded from them.
 
     The corpus is encoded where it lies, without a shuffle: each task takes its documents in blocks, replays the
-    merges over the block's distinct new words, and remembers a bounded number of words. Texts are encoded whole.
-    A null or empty text has no ids; repeated rows are encoded each; columns not in `keep` are left out.
-    The rank file goes to the executors through Spark's own file server.
+    merges over the block's distinct new words, and remembers a bounded number of words. Texts are encoded whole, very
+    long ones in parts. A null or empty text has no ids; repeated rows are encoded each; columns not in `keep` are
+    left out. The driver reads the rank file; its tables, whose size is fixed, are broadcast.
     """
-    small_batches(docs.sparkSession).sparkContext.addFile(ranks_path)
-    file = ranks_path.rsplit("/", 1)[-1]
-    kept = docs.select(*keep, docs[text].alias("_text"))
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(Codec(read_ranks(ranks_path), pattern).__getstate__())
+    kept = docs.select(*keep, F.col(text).alias("_text"))
     extra = T._parse_datatype_string(schema)
     types = [f.type for f in to_arrow_schema(extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(file, pattern)
+        codec = Codec.__new__(Codec)
+        codec.__setstate__(shared.value)
         for batch in batches:
-            texts = batch.column("_text")
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            block = (np.cumsum(sizes) - sizes) // batch_bytes
-            cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(sizes)]
-            for i, j in pairwise(cuts):
-                with uncollected():
-                    made = [row(ids, decoded) for ids, decoded in codec.encode_all(texts.slice(i, j - i).to_pylist())]
-                arrays = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *arrays], [*keep, *extra.names])
-        codec.known, codec.older = {}, {}  # a worker that waits holds the rank file's tables only
+            with uncollected():
+                made = [row(codec, parts) for parts in codec.encode_all(batch.column("_text").to_pylist())]
+            arrays = [pa.array(c, t) for c, t in zip(list(zip(*made, strict=True)) or [()] * len(types), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*keep, *extra.names])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], *extra]))
+    return kept.mapInArrow(tidied(run), T.StructType([*kept.schema.fields[:-1], *extra]))
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of each array of ids; null ids give a null text."""
-    from pyspark.sql import functions as F
-
-    df.sparkSession.sparkContext.addFile(ranks_path)
-    file = ranks_path.rsplit("/", 1)[-1]
+    shared = df.sparkSession.sparkContext.broadcast(Codec(read_ranks(ranks_path), "").tokens)
 
     @F.pandas_udf("string")
     def text(arrays: pd.Series) -> pd.Series:
-        codec = _codec(file, "")
-        return arrays.map(lambda a: None if a is None else codec.decode(list(a)).decode("utf-8", "replace"))
+        tokens = shared.value
+        return arrays.map(lambda a: None if a is None else b"".join([tokens[i] for i in a]).decode("utf-8", "replace"))
 
     return df.withColumn(out, text(F.col(ids)))
 
 
-def _digest_row(ids: str, decoded: bytes) -> tuple:
-    return ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-
 def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     return encode(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"],
-        row=_digest_row, schema="n_tokens long, ids_sha256 string, decoded_sha256 string",
+        row=_digest, schema="n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
 
 

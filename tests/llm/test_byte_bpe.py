@@ -26,8 +26,31 @@ def plain():
 @given(st.lists(st.one_of(st.text(max_size=40), st.text("ab' ", max_size=60), st.text("aeé\n", max_size=30)), max_size=8))
 def test_any_texts_encode_as_the_library_does_and_decode_back(texts):
     c, p = Codec(read_ranks(PATH), public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(PATH), special_tokens={})
-    for text, (ids, decoded) in zip(texts, c.encode_all(texts), strict=True):
-        assert ids == " ".join(map(str, p.encode_ordinary(text))) and decoded == text.encode()
+    for text, parts in zip(texts, c.encode_all(texts), strict=True):
+        ids = sum(parts, [])
+        assert ids == p.encode_ordinary(text) and c.decode(ids) == text.encode()
+
+
+def test_long_texts_in_parts_and_blocks(plain, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG", 40)
+    monkeypatch.setattr(byte_bpe, "RUN", 3)
+    c = Codec(read_ranks(PATH), public_tokenizers.PATTERN)
+    texts = ["", "one two", "three four five six seven eight nine ten eleven", None, "ten " * 30, "twelve"]
+    assert [sum(parts, []) for parts in c.encode_all(texts, 8)] == [plain.encode_ordinary(t or "") for t in texts]
+    for text in texts:
+        n, ids, decoded = byte_bpe._digest(c, next(c.encode_all([text])))
+        want = plain.encode_ordinary(text or "")
+        assert (n, ids, decoded) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+
+
+def test_digests_decode_the_ids_of_each_document(codec):
+    """With a token's bytes replaced, what is decoded changes though the texts don't."""
+    other = Codec.__new__(Codec)
+    other.__setstate__(codec.__getstate__())
+    ids = sum(next(other.encode_all([" the end"])), [])
+    other.tokens = list(other.tokens)
+    other.tokens[ids[0]] = b"?"
+    assert byte_bpe._digest(other, iter([ids]))[2] == hashlib.sha256(b"? end").hexdigest()
 
 
 def test_one_by_one_and_all_at_once_agree(codec, plain, monkeypatch):
@@ -43,7 +66,7 @@ def test_generations_of_remembered_words(plain, monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 3)
     c = Codec(read_ranks(PATH), public_tokenizers.PATTERN)
     for text in ["one two three four", "two five", "six seven eight nine", "one two"] * 2:
-        assert next(c.encode_all([text]))[0] == " ".join(map(str, plain.encode_ordinary(text)))
+        assert sum(next(c.encode_all([text])), []) == plain.encode_ordinary(text)
 
 
 def check(docs, plain):
