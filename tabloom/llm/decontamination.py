@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import boxed, counted, discard, small_batches, words, written
+from .shared import boxed, counted, discard, small_batches, tidied, words, written
 
 #: Words of a window; words of one segment of the index; characters of benchmark text that one broadcast holds.
-WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 20, 16 << 20
+WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 20, 8 << 20
+#: Words from a window's rarest term within which a proximity match has all others; postings that one step follows.
+SLOP, STEP = 20, 1 << 20
 CELLS = ("bounds", "terms", "counts", "places")
-#: Places past the end of a segment that a lookup may touch.
-PAD = 1 << 10
 
 
 @dataclass
@@ -37,21 +37,26 @@ class Phrases:
     first: np.ndarray
     items: list[str]
 
+    def named(self, windows: np.ndarray) -> list[str]:
+        """The items of the windows."""
+        owners = {int(o) for w in np.unique(windows) for o in self.owners[self.first[w] : self.first[w + 1]]}
+        return sorted(self.items[o] for o in owners)
+
 
 def phrases(items: list[tuple[str, str | None]], vocabulary: dict[bytes, int], window: int = WINDOW) -> Phrases:
-    of: dict[tuple[int, ...], set[int]] = {}
     names = sorted({name for name, _ in items})
     number = {name: i for i, name in enumerate(names)}
+    rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
     for name, text in items:
-        ids = [vocabulary[w] for w in words(text)]
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            of.setdefault(tuple(ids[i : i + window]), set()).add(number[name])
-    terms = np.full((len(of), window), -1, np.int32)
-    for row, key in zip(terms, of, strict=True):
-        row[: len(key)] = key
-    owners = [sorted(o) for o in of.values()]
-    first = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-    return Phrases(vocabulary, terms, (terms >= 0).sum(1), np.array([i for o in owners for i in o], np.int32), first, names)
+        ids = np.array([vocabulary[w] for w in words(text)], np.int32)
+        if len(ids):
+            short = np.append(ids, np.full(max(0, window - len(ids)), -1, np.int32))
+            rows.append(np.lib.stride_tricks.sliding_window_view(short, window))
+            owner.append(np.full(len(rows[-1]), number[name]))
+    terms, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([which.ravel(), np.concatenate(owner)], 1), axis=0)
+    first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
+    return Phrases(vocabulary, terms, (terms >= 0).sum(1), pairs[:, 1].astype(np.int32), first, names)
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, most: int, window: int = WINDOW) -> list[Phrases]:
@@ -115,73 +120,89 @@ def index(docs: DataFrame, vocabulary: Broadcast, keep: list[str], text: str = "
             yield close()
 
     schema = T.StructType([T.StructField("keys", T.ArrayType(fields))] + [T.StructField(c, T.BinaryType()) for c in CELLS])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 class Segment:
-    """One segment of the index, opened."""
+    """One segment of the index, opened: the posting lists of its terms, one after the other."""
 
     def __init__(self, row: dict):
         self.ends = np.frombuffer(row["bounds"], np.int32)
-        terms, counts = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["counts"], np.int32)
+        self.terms, counts = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["counts"], np.int32)
         self.places = np.frombuffer(row["places"], np.int32)
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.slot = {int(t): i for i, t in enumerate(terms)}
-        self.at = np.full(int(self.ends[-1]) + PAD, -1, np.int32)  # which term's list has a place
-        self.at[self.places] = np.repeat(terms, counts)
+        self.span = int(self.ends[-1]) + 1
+        # the lists as one ascending list: a place in any of them is found by halving
+        self.keys = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * self.span + self.places
 
-    def counts(self, size: int) -> np.ndarray:
-        out = np.zeros(size + 1, np.int64)  # the last, for -1, stays
-        for term, i in self.slot.items():
-            out[term] = self.first[i + 1] - self.first[i]
-        return out
+    def slots(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term's list, or -1."""
+        if not len(self.terms):
+            return np.full(terms.shape, -1, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
 
     def postings(self, term: int) -> np.ndarray:
-        i = self.slot.get(int(term))
-        return self.places[:0] if i is None else self.places[self.first[i] : self.first[i + 1]]
+        slot = int(self.slots(np.array([term]))[0])
+        return self.places[:0] if slot < 0 else self.places[self.first[slot] : self.first[slot + 1]]
+
+    def between(self, slots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each list has a place from low to high."""
+        low, high = np.clip(low, 0, self.span), np.minimum(high, self.span - 1)
+        at = np.searchsorted(self.keys, slots * self.span + low)
+        return (low <= high) & (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= slots * self.span + high)
+
+    def rarest(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, place) of the rarest term of each window whose terms are all there, some windows at a time; and for
+        all windows the lists of their terms and the order of their offsets, rarest first. -1 is no term."""
+        slots = self.slots(terms)
+        size = np.where(terms < 0, np.iinfo(np.int64).max, np.where(slots < 0, 0, np.diff(self.first, append=0)[slots]))
+        order = np.argsort(size, axis=1, kind="stable")
+        window = np.flatnonzero(size.min(axis=1) > 0) if len(terms) else np.zeros(0, np.int64)
+        rare = slots[window, order[window, 0]]
+        n = self.first[rare + 1] - self.first[rare]
+        step = (np.cumsum(n) - n) // STEP
+        for i, j in pairwise([*np.flatnonzero(np.diff(step, prepend=-1)).tolist(), len(window)]):
+            begun = np.repeat(self.first[rare[i:j]] - (np.cumsum(n[i:j]) - n[i:j]), n[i:j])
+            yield np.repeat(window[i:j], n[i:j]), self.places[begun + np.arange(len(begun))].astype(np.int64), slots, order
 
     def exact(self, found: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of each occurrence. A window's candidates are the list of its rarest term, moved back by the
-        term's offset; they are met with the moved lists of the other terms, rarest first."""
-        if not len(found.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        df = self.counts(len(found.vocabulary))
-        rarity = np.where(found.terms >= 0, df[found.terms], np.iinfo(np.int64).max)
-        order = np.argsort(rarity, axis=1, kind="stable")
-        window = np.flatnonzero(rarity.min(axis=1) > 0)
-        rare = order[window, 0]
-        lists = [self.postings(found.terms[w, o]) - o for w, o in zip(window, rare, strict=True)]
-        if not lists:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        start = np.concatenate(lists).astype(np.int64)
-        window = np.repeat(window, [len(x) for x in lists])
-        window, start = window[start >= 0], start[start >= 0]
-        for k in range(1, found.terms.shape[1]):
-            offset = order[window, k]
-            term = found.terms[window, offset]
-            fits = (term < 0) | (self.at[start + offset] == term)
-            window, start = window[fits], start[fits]
-        return window, start
-
-    def near(self, terms: list[int], slop: int) -> np.ndarray:
-        """Places of the rarest term around which every other term is at most `slop` words away, in the same document."""
-        lists = sorted((self.postings(t) for t in dict.fromkeys(terms)), key=len)
-        if not lists or not len(lists[0]):
-            return np.zeros(0, np.int64)
-        hits = lists[0].astype(np.int64)
-        for other in lists[1:]:
-            doc = np.searchsorted(self.ends, hits, side="right")
-            low = np.maximum(hits - slop, np.where(doc > 0, self.ends[doc - 1], 0))
-            high = np.minimum(hits + slop, self.ends[doc] - 2)
-            hits = hits[np.searchsorted(other, high, side="right") > np.searchsorted(other, low, side="left")]
-        return hits
+        term's offset; it is intersected with the moved lists of the other terms, rarest first."""
+        windows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for window, place, slots, order in self.rarest(found.terms):
+            start = place - order[window, 0]
+            for k in range(1, found.terms.shape[1]):
+                offset = order[window, k]
+                fits = (found.terms[window, offset] < 0) | self.between(slots[window, offset], start + offset, start + offset)
+                window, start = window[fits], start[fits]
+            windows.append(window)
+            starts.append(start)
+        return np.concatenate(windows), np.concatenate(starts)
+
+    def near(self, terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place of its rarest term) where every other term of the window is at most `slop` words away, in the
+        same document and any order."""
+        windows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for window, place, slots, order in self.rarest(terms):
+            doc = np.searchsorted(self.ends, place, side="right")
+            low = np.maximum(place - slop, np.where(doc > 0, self.ends[doc - 1], 0))
+            high = np.minimum(place + slop, self.ends[doc] - 2)
+            for k in range(1, terms.shape[1]):
+                offset = order[window, k]
+                fits = (terms[window, offset] < 0) | self.between(slots[window, offset], low, high)
+                window, place, low, high = window[fits], place[fits], low[fits], high[fits]
+            windows.append(window)
+            places.append(place)
+        return np.concatenate(windows), np.concatenate(places)
 
 
 SPANS = "array<struct<start:int,stop:int>>"
 
 
-def search(postings: DataFrame, found: Broadcast) -> DataFrame:
-    """Per document of the index its kept columns, n_words, the merged spans of hit words, and the items that occur."""
+def search(postings: DataFrame, found: Broadcast, slop: int = SLOP) -> DataFrame:
+    """Per document of the index its kept columns, n_words, the merged spans of hit words, the items that occur, and
+    those that have a proximity match."""
     fields = postings.schema["keys"].dataType.elementType
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -209,15 +230,21 @@ def search(postings: DataFrame, found: Broadcast) -> DataFrame:
                         else:
                             last = b
                             spans.append({"start": a, "stop": b})
-                    owners = {int(o) for w in np.unique(window[i:j]) for o in phrase.owners[phrase.first[w] : phrase.first[w + 1]]}
-                    all_items[d] = sorted(phrase.items[o] for o in owners)
+                    all_items[d] = phrase.named(window[i:j])
+                near_window, place = segment.near(phrase.terms, slop)
+                doc = np.searchsorted(segment.ends, place, side="right")
+                order = np.argsort(doc, kind="stable")
+                near_window, doc = near_window[order], doc[order]
+                all_near: list[list] = [[] for _ in range(len(keys))]
+                for i, j in pairwise([*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(doc)]):
+                    all_near[int(doc[i])] = phrase.named(near_window[i:j])
                 done = [summed(s, i) for s, i in zip(all_spans, all_items, strict=True)]
                 cells = [pa.array([x[k] for x in done], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
-                arrays = [*keys.flatten(), pa.array(segment.ends - begin - 1, pa.int64()), *cells, pa.array(all_spans, spans_type), pa.array(all_items, pa.list_(pa.string()))]
+                arrays = [*keys.flatten(), pa.array(segment.ends - begin - 1, pa.int64()), *cells, pa.array(all_spans, spans_type), *(pa.array(x, pa.list_(pa.string())) for x in (all_items, all_near))]
                 yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in fields), *extra.names])
 
-    extra = T._parse_datatype_string(f"n_words long, n_hit long, n_items long, items_sha256 string, spans {SPANS}, items array<string>")
-    return postings.mapInArrow(run, T.StructType([*fields, *extra]))
+    extra = T._parse_datatype_string(f"n_words long, n_hit long, n_items long, items_sha256 string, spans {SPANS}, items array<string>, near array<string>")
+    return postings.mapInArrow(tidied(run), T.StructType([*fields, *extra]))
 
 
 def summed(spans: list, items: list) -> tuple[int, int, str]:
@@ -236,10 +263,11 @@ def _summed(spans: pd.Series, items: pd.Series) -> pd.DataFrame:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_chars: int = BLOCK_CHARS,
+    window: int = WINDOW, block_chars: int = BLOCK_CHARS, slop: int = SLOP,
 ) -> DataFrame:
     """One row per document: the columns `keep`, n_words, n_hit, n_items, items_sha256, contaminated, spans (of hit words,
-    by number in the document) and items.
+    by number in the document), items, n_near and near: the items with a window whose words all stand, in any order, at
+    most `slop` words from the rarest of them. An exact match is a near one too if slop >= window - 1.
 
     A first pass stores the index as a table in the shared folder; a second reads it and searches each segment for all
     windows of the benchmark, a block of bounded size after the other. Neither shuffles texts or postings, and no term
@@ -247,12 +275,12 @@ def decontaminate(
     a null item id is the empty string; repeated items count once, repeated rows each; an empty benchmark hits nothing;
     other columns are ignored.
     """
-    return _decontaminate(docs, benchmark, keep, text, item, item_text, window, block_chars)[0]
+    return _decontaminate(docs, benchmark, keep, text, item, item_text, window, block_chars, slop)[0]
 
 
 def _decontaminate(
     docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_chars: int = BLOCK_CHARS,
+    window: int = WINDOW, block_chars: int = BLOCK_CHARS, slop: int = SLOP,
 ) -> tuple[DataFrame, list[DataFrame]]:
     """decontaminate, and the written tables that it reads."""
     spark = small_batches(docs.sparkSession)
@@ -263,7 +291,7 @@ def _decontaminate(
     hits = []
     for block in blocks:
         postings = written(index(docs, spark.sparkContext.broadcast(block.vocabulary), kept, text), "postings")
-        found = search(postings, spark.sparkContext.broadcast(block))
+        found = search(postings, spark.sparkContext.broadcast(block), slop)
         if len(blocks) > 1:
             found = written(found, "hits")
             discard(spark, postings)
@@ -274,10 +302,13 @@ def _decontaminate(
         for other in hits[1:]:
             found = found.unionByName(other)
         found = found.groupBy("_row").agg(
-            *(F.first(c).alias(c) for c in [*keep, "n_words"]), *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items"))
+            *(F.first(c).alias(c) for c in [*keep, "n_words"]), *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near"))
         )
         found = found.withColumn("_done", F.pandas_udf("n_hit long, n_items long, items_sha256 string")(_summed)("spans", "items")).select("*", "_done.*")
-    out = found.select(*keep, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans", "items")
+    out = found.select(
+        *keep, "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans", "items",
+        F.size(F.array_distinct("near")).cast("long").alias("n_near"), F.array_sort(F.array_distinct("near")).alias("near"),
+    )
     return out, tables
 
 
@@ -294,4 +325,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return decontaminate(docs, benchmark, ["doc_id"]).drop("spans", "items")
+    return decontaminate(docs, benchmark, ["doc_id"]).drop("spans", "items", "near")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tabloom.llm import decontamination
 from tabloom.llm.decontamination import CELLS, Segment, decontaminate, drop_contaminated, index, words
 
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -77,8 +78,64 @@ def test_proximity(spark):
     known = {b"a": 0, b"b": 1}
     row = index(docs, spark.sparkContext.broadcast(known), ["doc_id"]).collect()[0]
     segment = Segment({c: bytes(row[c]) for c in CELLS})
-    assert len(segment.near([0, 1], 3)) == 1 and len(segment.near([0, 1], 5)) == 2 and len(segment.near([0, 1], 50)) == 2
-    assert np.array_equal(segment.postings(7), [])
+    both = np.array([[0, 1, -1]])
+    assert [len(segment.near(both, n)[0]) for n in (2, 3, 5, 50)] == [0, 1, 2, 2]
+    assert np.array_equal(segment.postings(7), []) and np.array_equal(segment.postings(0), [0, 5, 14])
+
+
+def near_plain(docs, bench, slop, window=10):
+    """Items with a window whose words all stand within slop of a place of its rarest word, over all documents one segment."""
+    out = defaultdict(Counter)
+    texts = [(r.doc_id, tokens(r.text)) for r in docs]
+    count = Counter(w for _, t in texts for w in t)
+    for doc, t in texts:
+        items = set()
+        for r in bench:
+            w = tokens(r.text)
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                own = w[i : i + window]
+                fewest = min(count[x] for x in own)
+                for rare in {x for x in own if count[x] == fewest}:
+                    for p in [p for p, x in enumerate(t) if x == rare]:
+                        around = set(t[max(0, p - slop) : p + slop + 1])
+                        if all(x in around for x in own):
+                            items.add((r.item_id, fewest, len({x for x in own if count[x] == fewest})))
+        out[doc] = {str(i) for i, _, _ in items}
+    return out
+
+
+def test_near_items(spark):
+    rows = [(1, "p q r s t u"), (2, "u t s r q p"), (3, "p q x x x x x x r s t u"), (4, "p q r s"), (5, None), (6, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("i", "p q r s t u"), ("j", "v w"), ("k", "v")], "item_id string, text string")
+    for slop in (3, 5, 30):
+        got = {r.doc_id: (set(r.near), r.n_near) for r in decontaminate(docs, bench, ["doc_id"], window=6, slop=slop).collect()}
+        want = near_plain(docs.collect(), bench.collect(), slop, 6)
+        if slop != 3:  # where several words are rarest, either may be the middle
+            assert got == {d: (want[d], len(want[d])) for d in got}
+    assert got[1] == got[2] == got[3] == ({"i"}, 1) and got[4] == ({*()}, 0) and got[6] == ({"k"}, 1)
+    split = {r.doc_id: set(r.near) for r in decontaminate(docs, bench, ["doc_id"], window=6, slop=30, block_chars=3).collect()}
+    assert split == {d: n for d, (n, _) in got.items()}
+
+
+def test_windows_longer_than_any_padding(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, long), (2, "w1 w2")], "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r.n_hit for r in decontaminate(docs, docs.selectExpr("doc_id item_id", "text").where("item_id = 1"), ["doc_id"], window=2000).collect()}
+    assert out == {1: 3000, 2: 0}
+
+
+def test_the_rarest_lists_are_met_a_bounded_number_at_a_time(awkward, bench, monkeypatch):
+    want = got(decontaminate(awkward, bench, ["doc_id"]))
+    for step in (1, 7):
+        known = {w: i for i, w in enumerate(sorted({w for r in bench.collect() for w in words(r.text)}))}
+        found = decontamination.phrases([(str(r.item_id), r.text) for r in bench.collect()], known)
+        row = index(awkward.coalesce(1), awkward.sparkSession.sparkContext.broadcast(known), ["doc_id"]).collect()[0]
+        segment = Segment({c: bytes(row[c]) for c in CELLS})
+        whole = sorted(zip(*(x.tolist() for x in segment.exact(found)), strict=True))
+        monkeypatch.setattr(decontamination, "STEP", step)
+        assert sorted(zip(*(x.tolist() for x in segment.exact(found)), strict=True)) == whole and whole
+    assert want
 
 
 def test_words():
