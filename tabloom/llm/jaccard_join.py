@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,12 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import U64, boxed, counted, discard, mix, partitions, release, small_batches, written
+from .shared import U64, boxed, counted, discard, mix, partitions, release, small_batches, tidied, written
 from .shingles import shingle_sets
 
+log = logging.getLogger(__name__)
 WIDTH, SIMILARITY = 5, 0.8
-#: Coordinates of a sketch, repeated runs, levels of splitting below the first, and the bucket size that isn't split.
-TOKENS, RUNS, LEVELS, SMALL = 128, 16, 3, 512
+#: Coordinates of a sketch, levels of splitting below the first, and the bucket size that isn't split.
+TOKENS, LEVELS, SMALL = 128, 3, 512
+#: Runs before recall is measured, runs that are added until it reaches TARGET, and the most runs.
+RUNS, MORE, MOST, TARGET = 16, 4, 40, 0.999
+#: Distinct texts whose links to all documents are found exactly, to measure recall by, and their characters in all.
+PROBES, PROBE_CHARS = 256, 8 << 20
+#: Shingles that one part of a bucket holds, about.
+PART_SHINGLES = 1 << 21
 #: The share of its members from which a child shows that a bucket consists of near copies, which no split parts.
 WHOLE = 0.3
 #: The least number of equal bits of two sketches that are compared further: over five deviations below that of the threshold.
@@ -25,7 +34,7 @@ LEAST_BITS = 96
 RNG = np.random.default_rng(20180611)
 FACTOR = RNG.integers(1, 1 << 63, TOKENS, np.uint64) * U64(2) + U64(1)
 OFFSET = RNG.integers(0, 1 << 63, TOKENS, np.uint64)
-ROOTS = mix(np.arange(1, RUNS + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
+ROOTS = mix(np.arange(1, MOST + 1).astype(U64) * U64(0x9E3779B97F4A7C15))
 BLOCK_CHARS = 1 << 20
 
 
@@ -72,79 +81,134 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list]]:
             block, held, begun = [], 0, i + 1
 
 
+@dataclass
+class Probes:
+    """Shingle sets of some texts, by shingle: shingle u is in the sets owners[first[u]:first[u + 1]]."""
+
+    names: list[bytes]
+    sizes: np.ndarray
+    shingles: np.ndarray
+    owners: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Probes:
+        sets = {_identity(s): s for s in shingle_sets(texts, WIDTH) if len(s)}
+        flat = np.concatenate([np.zeros(0, U64), *sets.values()])
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets.values()])
+        order = np.argsort(flat, kind="stable")
+        shingles, first = np.unique(flat[order], return_index=True)
+        return Probes(list(sets), np.array([len(x) for x in sets.values()], np.int64), shingles, owner[order], np.append(first, len(flat)))
+
+    def linked(self, found: np.ndarray) -> list[bytes]:
+        """The sets whose similarity to `found` is SIMILARITY or more, without `found` itself."""
+        if not len(self.shingles) or not len(found):
+            return []
+        at = np.minimum(np.searchsorted(self.shingles, found), len(self.shingles) - 1)
+        at = at[self.shingles[at] == found]
+        if not len(at):
+            return []
+        n = self.first[at + 1] - self.first[at]
+        owners = self.owners[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        common = np.bincount(owners, minlength=len(self.sizes))
+        near = np.flatnonzero(common * (1 + SIMILARITY) >= SIMILARITY * (self.sizes + len(found)) - 1e-9)
+        own = _identity(found) if len(near) else b""
+        return [self.names[i] for i in near.tolist() if self.names[i] != own]
+
+
+def _probes(docs: DataFrame) -> Probes:
+    """PROBES distinct texts of the rows with the smallest hashes, as far as PROBE_CHARS goes."""
+    key = F.xxhash64("text")
+    rows = docs.select("doc_id", key.alias("key"), F.coalesce(F.length("text"), F.lit(0)).alias("size")).where("size > 0")
+    seen: dict[int, int] = {}
+    held = 0
+    for r in rows.orderBy(F.xxhash64("key", "doc_id"), "key").limit(8 * PROBES).collect():
+        if r["key"] not in seen and len(seen) < PROBES and held + r["size"] <= PROBE_CHARS:
+            seen[r["key"]] = r["size"]
+            held += r["size"]
+    if not seen:
+        return Probes.of([])
+    texts = docs.where(key.isin(list(seen))).select(key.alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    return Probes.of([r["text"] for r in texts.collect()])
+
+
 def _sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, class, size, sketch) of each document; size 0 without words."""
+    """(doc_id, key, class, size, sketch) of each document, size 0 without words; and the classes of probes it is linked to."""
     kept = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(_probes(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = shared.value
         for batch in batches:
-            names, sizes, sketches = [], [], []
+            names, sizes, sketches, near = [], [], [], []
             for _, block in _blocks(batch.column("text")):
                 for found in shingle_sets(block, WIDTH):
                     names.append(_identity(found))
                     sizes.append(len(found))
                     sketches.append(sketch(found).tobytes())
+                    near.append(probes.linked(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())],
-                ["doc_id", "key", "class", "size", "sketch"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(near, pa.list_(pa.binary()))],
+                ["doc_id", "key", "class", "size", "sketch", "near"],
             )
 
-    schema = T.StructType([*kept.schema.fields[:2], *T._parse_datatype_string("class binary, size int, sketch binary")])
-    return kept.mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields[:2], *T._parse_datatype_string("class binary, size int, sketch binary, near array<binary>")])
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), width)
 
 
-def _split(members: DataFrame, root: bool) -> DataFrame:
-    """(node, class) of the children of each member's node; of the roots of all runs at first."""
+def _split(members: DataFrame, roots: np.ndarray | None) -> DataFrame:
+    """(node, class, size, parent) of the children of each member's node; of the given roots at first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sketches = batch.column("class"), _matrix(batch.column("sketch"), np.uint32, TOKENS)
+            names, size, sketches = batch.column("class"), batch.column("size"), _matrix(batch.column("sketch"), np.uint32, TOKENS)
             if not len(names):
                 continue
-            for start in ROOTS if root else [None]:
-                own = np.full(len(names), start) if root else batch.column("node").to_numpy(zero_copy_only=False).view(U64)
+            for start in [None] if roots is None else roots:
+                own = batch.column("node").to_numpy(zero_copy_only=False).view(U64) if start is None else np.full(len(names), start)
                 row, child = chosen(own, sketches)
                 pairs = np.unique(np.stack([row.astype(U64), child], 1), axis=0)
+                at = pairs[:, 0].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[:, 1].view(np.int64)), names.take(pa.array(pairs[:, 0].astype(np.int64))), pa.array(own.view(np.int64)[pairs[:, 0].astype(np.int64)])],
-                    ["node", "class", "parent"],
+                    [pa.array(pairs[:, 1].view(np.int64)), names.take(pa.array(at)), size.take(pa.array(at)), pa.array(own.view(np.int64)[at])], ["node", "class", "size", "parent"]
                 )
 
-    columns = ["class", "sketch"] if root else ["node", "class", "sketch"]
-    return members.select(*columns).mapInArrow(run, "node long, class binary, parent long")
+    columns = ["class", "size", "sketch"] if roots is not None else ["node", "class", "size", "sketch"]
+    return members.select(*columns).mapInArrow(tidied(run), "node long, class binary, size int, parent long")
 
 
-def _leaves(classes: DataFrame) -> DataFrame:
-    """(node, class, n): the buckets of two sets or more, after splitting the large ones level by level.
+def _leaves(classes: DataFrame, roots: np.ndarray) -> DataFrame:
+    """(node, class, n, weight) of the runs from the given roots: the buckets of two sets or more, after splitting the
+    large ones level by level; weight is the number of shingles in all sets of a bucket.
 
     A bucket stays whole where it is small, on the last level, or where a child of it keeps WHOLE of its members."""
     spark = classes.sparkSession
-    done, now, tables = [], _split(classes, True), []
+    done, now, tables = [], _split(classes, roots), []
     for level in range(LEVELS + 1):
         now = written(now, "paths") if not level else now
         tables.append(now)
-        sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).where("n > 1")
+        sizes = now.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.first("parent").alias("parent")).where("n > 1")
         if level:
             sizes = sizes.join(whole, sizes["parent"] == whole["whole"], "left_anti")  # noqa: F821
         sizes = sizes.drop("parent")
         if level == LEVELS:
-            done.append(now.drop("parent").join(sizes, "node"))
+            done.append(now.drop("parent", "size").join(sizes, "node"))
             break
         small, large = sizes.where(F.col("n") <= SMALL), written(sizes.where(F.col("n") > SMALL), "large")
         tables.append(large)
-        done.append(now.drop("parent").join(small, "node"))
+        done.append(now.drop("parent", "size").join(small, "node"))
         if large.isEmpty():
             break
         parents = now.drop("parent").join(large, "node")
-        children = written(_split(parents.join(classes.select("class", "sketch"), "class"), False), "children")
+        children = written(_split(parents.join(classes.select("class", "sketch"), "class"), None), "children")
         heavy = children.groupBy("parent", "node").agg(F.count("*").alias("m")).groupBy("parent").agg(F.max("m").alias("m"))
         whole = written(heavy.join(large.withColumnRenamed("node", "parent"), "parent").where(F.col("m") >= WHOLE * F.col("n")).select(F.col("parent").alias("whole")), "whole")
         tables.append(whole)
-        done.append(parents.join(whole, parents["node"] == whole["whole"], "left_semi"))
+        done.append(parents.join(whole, parents["node"] == whole["whole"], "left_semi").drop("size"))
         now = children
     out = done[0]
     for other in done[1:]:
@@ -155,14 +219,15 @@ def _leaves(classes: DataFrame) -> DataFrame:
 
 
 def _spread(leaves: DataFrame) -> DataFrame:
-    """The leaves with a part and a pair of parts: members of a leaf of more than SMALL sets are dealt into parts, and
-    each pair of parts is a task's work of its own, so that none holds more than two parts."""
-    parts = F.ceil(F.col("n") / F.lit(SMALL)).cast("int")
+    """The leaves with a part and a pair of parts: members of a leaf of more than SMALL sets, or of more than PART_SHINGLES
+    shingles, are dealt into parts, and each pair of parts is a task's work of its own, so that none holds more than two
+    parts."""
+    parts = F.least("n", F.ceil(F.greatest(F.col("n") / F.lit(SMALL), F.col("weight") / F.lit(PART_SHINGLES)))).cast("int")
     part = F.pmod(F.xxhash64("class"), parts).cast("int")
     each = leaves.withColumn("parts", parts).withColumn("part", part)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     return each.withColumn("other", other).select(
-        "node", "class", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), *[c for c in leaves.columns if c not in ("node", "class", "n")]
+        "node", "class", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), *[c for c in leaves.columns if c not in ("node", "class", "n", "weight")]
     )
 
 
@@ -258,7 +323,7 @@ def _needed(spread: DataFrame) -> DataFrame:
             if len(rows):
                 yield from table.take(pa.array(rows)).combine_chunks().to_batches()
 
-    return _gathered(spread).mapInArrow(run, spread.schema)
+    return _gathered(spread).mapInArrow(tidied(run), spread.schema)
 
 
 def _gathered(spread: DataFrame) -> DataFrame:
@@ -285,7 +350,7 @@ def _with_sets(needed: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
                     ["node", "part", "low", "high", "bits", "nodes", "class", "copies", "set"],
                 )
 
-    return met.mapInArrow(run, "node long, part int, low int, high int, bits binary, nodes array<long>, class binary, copies long, set binary")
+    return met.mapInArrow(tidied(run), "node long, part int, low int, high int, bits binary, nodes array<long>, class binary, copies long, set binary")
 
 
 LINKS = "class binary, other binary, links long, documents long"
@@ -323,7 +388,7 @@ def _links(members: DataFrame) -> DataFrame:
                 ["class", "other", "links", "documents"],
             )
 
-    return _gathered(members).mapInArrow(run, LINKS)
+    return _gathered(members).mapInArrow(tidied(run), LINKS)
 
 
 def _sign_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -331,45 +396,77 @@ def _sign_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = written(_sign(docs), "signed")
     worded = signed.where("size > 0")
     far = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")
-    classes = worded.groupBy("class").agg(F.min(far).alias("f"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
-    return signed, written(classes.select("class", F.col("f.doc_id").alias("first"), F.col("f.key").alias("first_key"), "copies", "sketch"), "classes")
+    classes = worded.groupBy("class").agg(F.min(far).alias("f"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    return signed, written(classes.select("class", F.col("f.doc_id").alias("first"), F.col("f.key").alias("first_key"), "copies", "size", "sketch"), "classes")
 
 
-def _with_bits(leaves: DataFrame, classes: DataFrame) -> DataFrame:
-    """Leaves with the packed bits and the sorted list of all leaves of each class."""
+@F.pandas_udf(T.BinaryType())
+def _packed(sketches: pd.Series) -> pd.Series:
+    if not len(sketches):
+        return pd.Series([], dtype=object)
+    return pd.Series([row.tobytes() for row in bits(np.frombuffer(b"".join(sketches), np.uint32).reshape(len(sketches), TOKENS))])
+
 
-    @F.pandas_udf("binary")
-    def packed(sketches: pd.Series) -> pd.Series:
-        if not len(sketches):
-            return pd.Series([], dtype=object)
-        return pd.Series([row.tobytes() for row in bits(np.frombuffer(b"".join(sketches), np.uint32).reshape(len(sketches), TOKENS))])
+@F.pandas_udf(T.IntegerType())
+def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The number of equal bits of two packed sketches."""
+    return pd.Series([TOKENS - int(np.bitwise_count(np.frombuffer(x, U64) ^ np.frombuffer(y, U64)).sum()) for x, y in zip(a, b, strict=True)], dtype="int32")
 
+
+def _with_bits(leaves: DataFrame, classes: DataFrame) -> DataFrame:
+    """Leaves with the packed bits and the sorted list of all leaves of each class."""
     lists = leaves.groupBy("class").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # some 1.25 a run and level
-    lists = lists.join(classes.select("class", "sketch"), "class").select("class", "nodes", packed("sketch").alias("bits"))
+    lists = lists.join(classes.select("class", "sketch"), "class").select("class", "nodes", _packed("sketch").alias("bits"))
     return leaves.join(lists, "class")
 
 
+def _recall(leaves: DataFrame, classes: DataFrame, pairs: DataFrame) -> float:
+    """The share of the pairs of linked classes that meet in a leaf and pass the comparison of bits; 1 without pairs."""
+    asked = pairs.select("class").unionByName(pairs.select(F.col("probe").alias("class"))).distinct()
+    asked = counted(written(asked, "asked"))
+    lists = leaves.join(asked, "class", "left_semi").groupBy("class").agg(F.collect_set("node").alias("nodes"))
+    lists = classes.join(asked, "class", "left_semi").join(lists, "class", "left")
+    lists = written(lists.select("class", F.coalesce("nodes", F.array().cast("array<long>")).alias("nodes"), _packed("sketch").alias("bits")), "lists")
+    other = lists.select(F.col("class").alias("probe"), F.col("nodes").alias("others"), F.col("bits").alias("other_bits"))
+    met = F.arrays_overlap("nodes", "others") & (_agreeing("bits", "other_bits") >= LEAST_BITS)
+    share = pairs.join(lists, "class").join(other, "probe").agg(F.avg(met.cast("double"))).first()[0]
+    discard(leaves.sparkSession, asked, lists)
+    return 1.0 if share is None else share
+
+
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed documents, classes, links) of the self-join of docs by word shingles.
 
-    1. Documents of equal shingle sets are one class, kept by its first document.
-    2. In each of RUNS runs every class goes to the buckets of the tokens that it shares with others by a common
-       sample; buckets of more than SMALL sets are split again by samples of their own. Two sets of similarity
-       SIMILARITY meet in a run with a probability of 0.63 on the first level, 0.47 after one split, 0.31 after three, so
-       that over all runs one pair in ten million is lost where no bucket is split and one in 400 at worst.
+    1. Documents of equal shingle sets are one class, kept by its first document. On the way, the exact links of PROBES
+       texts to all documents are found by an inverted index of the probes' shingles.
+    2. In each run every class goes to the buckets of the tokens that it shares with others by a common sample; buckets
+       of more than SMALL sets are split again by samples of their own. Two sets of similarity SIMILARITY meet in a run
+       with a probability of 0.63 on the first level, 0.47 after one split, 0.31 after three. Runs are repeated until
+       the share of the probes' links that meet somewhere is TARGET; if MOST runs don't reach it, that is logged.
     3. In each bucket sketches of TOKENS bits rule out pairs; a pair counts in the first bucket only that both are in.
     4. The shingle sets of those that remain, of whole texts, are brought to their buckets and compared exactly.
     """
     spark = small_batches(docs.sparkSession)
     signed, classes = _sign_classes(docs)
-    leaves = _leaves(classes)
+    pairs = signed.where("size > 0").select("class", F.explode("near").alias("probe")).distinct()
+    pairs = written(pairs, "pairs")
+    parts, runs, recall = [], 0, 0.0
+    while recall < TARGET and runs < MOST:
+        step = MORE if runs else RUNS
+        parts.append(_leaves(classes, ROOTS[runs : runs + step]))
+        runs += step
+        leaves = parts[0]
+        for other in parts[1:]:
+            leaves = leaves.unionByName(other)
+        recall = _recall(leaves, classes, pairs)
+    log.log(logging.INFO if recall >= TARGET else logging.WARNING, "%d runs, recall of the probes' links %.4f", runs, recall)
     release(spark)
     needed = written(_needed(_spread(_with_bits(leaves, classes))), "needed")
-    discard(spark, leaves)
+    discard(spark, *parts, pairs)
     release(spark)
     links = written(_links(_with_sets(needed, classes, docs)), "links")
     discard(spark, needed)
-    return signed, classes.drop("sketch"), links
+    return signed.drop("near"), classes.drop("sketch", "size"), links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

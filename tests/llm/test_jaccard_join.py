@@ -100,6 +100,48 @@ def test_large_buckets_are_split_and_dealt_in_parts(crowd, monkeypatch):
     assert keep_one(df).count() == len({r.class_id for r in near_duplicates(df).collect()})
 
 
+def test_runs_are_repeated_until_the_target_recall(crowd, monkeypatch, caplog):
+    rows, df = crowd
+    caplog.set_level("INFO", "tabloom.llm.jaccard_join")
+    for name, value in {"RUNS": 1, "MORE": 1, "SMALL": 20}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    found = {}
+    for target in (0.3, 1.0):
+        monkeypatch.setattr(jaccard_join, "TARGET", target)
+        caplog.clear()
+        links = sum(r.n_links for r in near_duplicates(df).collect())
+        runs, recall = next(r.args for r in caplog.records if "recall" in r.msg)
+        assert recall >= target
+        found[target] = runs, links
+    assert found[0.3][0] < found[1.0][0] and found[0.3][1] <= found[1.0][1]
+    want = sum(int(x[1:-1].split(", ")[-1]) for x in plain(rows))
+    assert found[1.0][1] >= 0.97 * want  # probes are a sample here: 240 of 390 texts
+    monkeypatch.setattr(jaccard_join, "MOST", 1)
+    caplog.clear()
+    near_duplicates(df).count()
+    assert [r.levelname for r in caplog.records if "recall" in r.msg] == ["WARNING"]
+
+
+def test_links_of_probes_are_those_of_all_pairs(crowd):
+    texts = [t for _, t in crowd[0]]
+    sets = shingle_sets(texts, 5)
+    probes = jaccard_join.Probes.of(texts[:30])
+    names = {jaccard_join._identity(s) for s in sets[:30]}
+    for s, t in zip(sets, plain_sets(texts), strict=True):
+        want = {jaccard_join._identity(o) for o, u in zip(sets[:30], plain_sets(texts[:30]), strict=True) if t != u and len(t & u) >= 0.8 * len(t | u)}
+        assert set(probes.linked(s)) == want <= names
+    assert jaccard_join.Probes.of([]).linked(sets[0]) == [] == probes.linked(sets[0][:0])
+
+
+def test_parts_of_long_texts(spark, monkeypatch):
+    """Near copies of texts with more shingles than a part holds."""
+    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", 5000)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in rng.integers(0, 90_000, 4000)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in enumerate(rng.integers(0, 4000, 9).tolist())] + [(20, " ".join(base[:500]))]
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
 def test_components(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("a", "b"), ("c", "b"), ("b", "a"), ("d", "d"), (None, "x")] + [("hub", f"s{i}") for i in range(50)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
