@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import partitions, tidied, written
 
 #: Neighbours returned; bits of a code at least; bits of a substring; rows and rounds that the rotation is learned from.
 K, BITS, PART, SAMPLE, ROUNDS = 20, 128, 16, 8192, 20
@@ -139,7 +139,7 @@ def _search(index: DataFrame, coder: Broadcast, queries: Broadcast, radius: int
                 ["qid", "score", "differ", "vid", "ids"],
             )
 
-    return index.mapInArrow(run, FOUND)
+    return index.mapInArrow(tidied(run), FOUND)
 
 
 def _nearest(found: DataFrame, most: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import U64, mix, partitions, release, small_batches, written
+from .shared import U64, mix, partitions, release, small_batches, tidied, written
 from .suffixes import window_classes
 
 LENGTH, GRAM = 100, 32
@@ -229,7 +229,7 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
             rows += _deal(again, RANGE, again["doc"], buckets, AGAIN)
             yield _batch(rows)
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(tidied(run), ROW)
 
 
 def _kinds(anchors: DataFrame, buckets: int) -> DataFrame:
@@ -259,7 +259,7 @@ def _kinds(anchors: DataFrame, buckets: int) -> DataFrame:
         rows += _deal(rest, REST, rest["doc"], buckets, FIRST)
         yield _batch(rows)
 
-    return _dealt(anchors).mapInArrow(run, ROW)
+    return _dealt(anchors).mapInArrow(tidied(run), ROW)
 
 
 def _beside(docs: DataFrame, rows: DataFrame, kinds: list[int], buckets: int) -> DataFrame:
@@ -346,7 +346,7 @@ def _surroundings(beside: DataFrame, buckets: int) -> DataFrame:
                 out += _deal(again, RANGE, again["doc"], buckets, AGAIN)
             yield _batch(out)
 
-    return beside.mapInArrow(run, ROW)
+    return beside.mapInArrow(tidied(run), ROW)
 
 
 def _merged(found: dict) -> dict:
@@ -425,7 +425,7 @@ def _repeated(surroundings: DataFrame, buckets: int) -> DataFrame:
         every = _merged({name: np.concatenate([f[name] for f in found]).astype(np.int64) for name, _ in RANGE})
         yield _batch(list(_deal(every, RANGE, every["doc"], buckets, AGAIN)))
 
-    return _dealt(surroundings).mapInArrow(run, ROW)
+    return _dealt(surroundings).mapInArrow(tidied(run), ROW)
 
 
 OUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -455,7 +455,7 @@ def _removed(beside: DataFrame, with_text: bool) -> DataFrame:
             cells = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names)
 
-    return beside.mapInArrow(run, schema)
+    return beside.mapInArrow(tidied(run), schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:

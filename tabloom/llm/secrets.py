@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import boxed, counted, small_batches, written
+from .shared import boxed, counted, small_batches, tidied, written
 
 #: Kinds in listed order; the last is the one that the method adds.
 KINDS = ("assign", "access", "hex", "token")
@@ -82,7 +82,7 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(cells, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*keep, *extra.names])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], *extra]))
+    return kept.mapInArrow(tidied(run), T.StructType([*kept.schema.fields[:-1], *extra]))
 
 
 def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:

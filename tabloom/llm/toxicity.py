@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import boxed, small_batches, words, written
+from .shared import boxed, small_batches, tidied, words, written
 
 #: Buckets that words and their beginnings are hashed to; rows of the embedding at most, its width; filter widths, and filters of each.
 BUCKETS, ROWS, DIM, WIDTHS, FILTERS = 1 << 24, 1 << 17, 12, (1, 2, 3), 12
 #: Lengths in bytes of the beginnings that stand beside a longer word, and the documents of the sample that a bucket needs.
 PREFIXES, LEAST_DOCS = (4, 5, 6, 7, 8, 9), 5
 #: At most so many labelled documents of each class are fitted, and so many characters of text in all.
-SAMPLE, SAMPLE_CHARS = (1500, 3000), 32 << 20
+SAMPLE, SAMPLE_CHARS, TEXTS = (1500, 3000), 32 << 20, 2
 #: Steps of a logit by which scores are counted for the calibration.
 STEPS = 1024
 EPOCHS, BATCH, RATE, DECAY, SEED = 6, 32, 0.01, 1e-4, 7
@@ -247,23 +247,27 @@ def _labelled(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from a bounded sample of labelled rows: at most sample[label] of each class ((toxic, other)), in order of
     a hash of their ids, and at most `sample_chars` characters; a text that doesn't fit any more is passed over, and the
-    calibration scores it. Nothing held out is fitted. A document with several
-    labels counts as toxic if one of them says so."""
+    calibration scores it. Of ids with several texts each counts, up to TEXTS for each id on average. Nothing held out
+    is fitted. A document with several labels counts as toxic if one of them says so."""
     each = _labelled(labels)
     picked = None
     for most, rows in zip(sample, (each.where("toxic = 1"), each.where("toxic = 0")), strict=True):
         rows = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
         picked = rows if picked is None else picked.unionByName(rows)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", "text", lang.alias("lang"))
-    chosen = texts.join(F.broadcast(picked), "doc_id")
-    rows, held, seen = [], 0, set()
-    for r in sorted(chosen.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "")):
-        size = len(r["text"] or "")
-        if held + size <= sample_chars and (r["doc_id"], r["text"]) not in seen:
-            held += size
-            seen.add((r["doc_id"], r["text"]))
-            rows.append(r)
+    texts = docs.select("doc_id", "text", lang.alias("lang"), F.xxhash64("text").alias("key"))
+    labelled = texts.join(F.broadcast(picked), "doc_id")
+    # which texts fit is decided by their sizes; only those that do come to the driver
+    order = [F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "key"]
+    sizes = labelled.groupBy("doc_id", "key").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("size")).orderBy(*order).limit(TEXTS * sum(sample))
+    fits, held = {}, 0
+    for r in sizes.collect():
+        if held + r["size"] <= sample_chars:
+            held += r["size"]
+            fits[r["doc_id"], r["key"]] = len(fits)
+    wanted = docs.sparkSession.createDataFrame([(*k, i) for k, i in fits.items()], T.StructType([texts.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType())]))
+    one = labelled.join(F.broadcast(wanted), ["doc_id", "key"]).groupBy("at").agg(F.first(F.struct("doc_id", "text", "lang", "toxic")).alias("row"))
+    rows = [r["row"] for r in sorted(one.collect(), key=lambda r: r["at"])]
     model = fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]), [r["lang"] for r in rows])
     model.fitted = sorted({rows[i]["doc_id"] for i in model.fitted})
     return model
@@ -311,7 +315,7 @@ def apply(docs: DataFrame, model: Model, keep: list[str], text: str = "text", bl
             done = pa.array(np.concatenate(scores) if scores else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], done], [*keep, name])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField(name, T.DoubleType())]))
+    return kept.mapInArrow(tidied(run), T.StructType([*kept.schema.fields[:-1], T.StructField(name, T.DoubleType())]))
 
 
 def _scaled(model: Model) -> Column:

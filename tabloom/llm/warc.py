@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import partitions, scratch, small_batches, written
+from .shared import partitions, scratch, small_batches, tidied, written
 
 #: Bytes after which a task begins another archive; the largest gap that one read runs over, and the largest read.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 1 << 30, 64 << 10, 8 << 20
@@ -110,7 +110,7 @@ def write_archives(marked: DataFrame, base: str, archive_bytes: int = ARCHIVE_BY
         if out is not None:
             out.close()
 
-    return written(marked.mapInArrow(run, schema), "warc-index")
+    return written(marked.mapInArrow(tidied(run), schema), "warc-index")
 
 
 def ranges(offsets: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = READ_BYTES) -> list[tuple[int, int, int]]:
@@ -159,7 +159,7 @@ def read_records(index: DataFrame, base: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema.names)
                 i = j
 
-    return sorted_.mapInArrow(run, schema)
+    return sorted_.mapInArrow(tidied(run), schema)
 
 
 def round_trip(pages: DataFrame, base: str | None = None, least: int = 0) -> DataFrame:
