@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, tidied, written
+from .shared import discard, partitions, tidied, written
 
 #: Neighbours returned; bits of a code at least; bits of a substring; rows and rounds that the rotation is learned from.
 K, BITS, PART, SAMPLE, ROUNDS = 20, 128, 16, 8192, 20
 #: Queries whose true neighbours set the radius, and the share of these neighbours that it must cover.
 PROBES, COVER = 128, 0.985
-#: Vectors of one piece of the index, and queries of one broadcast.
-PIECE, BLOCK = 1 << 17, 1 << 15
+#: Bytes of the vectors of one piece of the index, about; queries that a piece answers at a time.
+PIECE_BYTES, BLOCK = 64 << 20, 1 << 13
+INDEX, QUERY = 0, 1  # kinds of rows
 
 
 @dataclass
@@ -91,55 +93,65 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
-    held: list[pa.RecordBatch] = []
-    n = 0
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(piece, kind, rows) of batches sorted by the two."""
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= PIECE:
-            yield _piece(held)
-            held, n = [], 0
-    if n:
-        yield _piece(held)
-
-
-def _piece(held: list[pa.RecordBatch]) -> tuple:
-    whole = pa.concat_batches(held)
-    return _vectors(whole.column("vector")), whole.column("vid"), whole.column("ids")
+        piece, kind = (batch.column(c).to_numpy() for c in ("piece", "kind"))
+        cuts = np.flatnonzero((np.diff(piece) != 0) | (np.diff(kind) != 0)) + 1
+        for i, j in pairwise([0, *cuts.tolist(), len(piece)]):
+            if j > i:
+                yield int(piece[i]), int(kind[i]), batch.slice(i, j - i)
 
 
 FOUND = "qid long, score double, differ int, vid long, ids array<long>"
 
 
-def _search(index: DataFrame, coder: Broadcast, queries: Broadcast, radius: int | None, most: int) -> DataFrame:
-    """The `most` nearest vectors that each query finds in each piece, with the bits in which their codes differ.
-    radius None: all vectors are looked at."""
+def _search(index: DataFrame, pieces: int, coder: Broadcast, queries: DataFrame, radius: int | None, most: int) -> DataFrame:
+    """The `most` nearest vectors that each query (qid, vector) finds in each piece of the index, with the bits in which
+    their codes differ. radius None: all vectors are looked at.
+
+    Each piece goes to the task of its number, and so does every query: a task builds its piece's tables once, then
+    answers the queries as they stream past. Neither vectors nor queries go through the driver."""
+    rows = index.select("piece", F.lit(INDEX).alias("kind"), F.col("vid").alias("num"), "vector", "ids")
+    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"), F.lit(QUERY).alias("kind"), F.col("qid").alias("num"), "vector")
+    both = rows.unionByName(asks.withColumn("ids", F.lit(None).cast("array<long>")))
+
+    def answer(piece: Piece, vids: pa.Array, ids: pa.Array, block: pa.RecordBatch) -> pa.RecordBatch:
+        vectors = _vectors(block.column("vector"))
+        out: list[list] = [[], [], [], []]
+        for qid, query, code in zip(block.column("num").to_pylist(), vectors, coder.value.parts(vectors), strict=True):
+            at = np.arange(len(piece.rows)) if radius is None else piece.within(code, radius)
+            score = products(piece.rows[at], query)
+            if len(at) > most:
+                best = np.partition(score, len(score) - most)[len(score) - most]
+                at, score = at[score >= best], score[score >= best]
+            out[0].append(np.full(len(at), qid))
+            out[1].append(score)
+            out[2].append(np.bitwise_count(piece.codes[at] ^ code).sum(axis=1).astype(np.int32))
+            out[3].append(at)
+        flat = [np.concatenate(x) for x in out]
+        take = pa.array(flat[3])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(flat[0], pa.int64()), pa.array(flat[1]), pa.array(flat[2], pa.int32()), vids.take(take), ids.take(take)],
+            ["qid", "score", "differ", "vid", "ids"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, vectors = queries.value
-        codes = coder.value.parts(vectors)
-        for rows, vids, ids in _pieces(batches):
-            piece = Piece(coder.value, rows)
-            out: list[list] = [[], [], [], []]
-            for qid, query, code in zip(qids, vectors, codes, strict=True):
-                at = np.arange(len(rows)) if radius is None else piece.within(code, radius)
-                score = products(rows[at], query)
-                if len(at) > most:
-                    best = np.partition(score, len(score) - most)[len(score) - most]
-                    at, score = at[score >= best], score[score >= best]
-                out[0].append(np.full(len(at), qid))
-                out[1].append(score)
-                out[2].append(np.bitwise_count(piece.codes[at] ^ code).sum(axis=1).astype(np.int32))
-                out[3].append(at)
-            flat = [np.concatenate(x) for x in out]
-            take = pa.array(flat[3])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[0], pa.int64()), pa.array(flat[1]), pa.array(flat[2], pa.int32()), vids.take(take), ids.take(take)],
-                ["qid", "score", "differ", "vid", "ids"],
-            )
-
-    return index.mapInArrow(tidied(run), FOUND)
+        held: list[pa.RecordBatch] = []
+        piece, number = None, -1
+        for at, kind, part in _runs(batches):
+            if kind == INDEX:
+                if at != number:
+                    held, piece, number = [], None, at
+                held.append(part)
+            elif at == number:
+                if piece is None:
+                    whole = pa.concat_batches(held)
+                    piece, vids, ids, held = Piece(coder.value, _vectors(whole.column("vector"))), whole.column("num"), whole.column("ids"), []
+                for i in range(0, part.num_rows, BLOCK):
+                    yield answer(piece, vids, ids, part.slice(i, BLOCK))
+
+    return both.repartitionById(pieces, F.col("piece")).sortWithinPartitions("piece", "kind").mapInArrow(tidied(run), FOUND)
 
 
 def _nearest(found: DataFrame, most: int) -> DataFrame:
@@ -156,18 +168,6 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return rows.groupBy("id", "vector").agg(F.lit(1).alias("one")).drop("one")
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    qids, rows = [], []
-    for r in queries.toLocalIterator():
-        qids.append(r["qid"])
-        rows.append(r["vector"])
-        if len(qids) == BLOCK:
-            yield np.array(qids), np.array(rows, np.float64)
-            qids, rows = [], []
-    if qids:
-        yield np.array(qids), np.array(rows, np.float64)
-
-
 def search(vectors: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k rows of the largest inner
     product that it finds, its own id left out; ties to the smaller id; all of them where there are fewer than k.
@@ -176,8 +176,8 @@ def search(vectors: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", v
        vector which a third of all rows hold is one entry of the index.
     2. Rotations are learned from SAMPLE vectors, and the radius is set so that it covers COVER of the true neighbours
        of PROBES queries, found by looking at all rows; both samples are the smallest hashes of the vectors.
-    3. The index is cut into pieces of PIECE vectors, each with its own tables; it holds every row. The queries go to
-       them in blocks of BLOCK, whatever their number.
+    3. The index is cut into pieces by a hash of the vectors, one for each task and for each PIECE_BYTES at least, each
+       with its own tables; it holds every row. Every piece answers every query.
     4. A query that finds fewer than k + 1 vectors within the radius looks at all rows.
 
     A null id, a vector that is null, zero, or holds a null or non-finite component, or that has not the commonest
@@ -194,7 +194,10 @@ def search(vectors: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", v
     rows = rows.where(F.col("length") == lengths["length"]).drop("length")
     smallest = Window.partitionBy("vector").orderBy("id")
     groups = rows.withColumn("at", F.row_number().over(smallest)).where(F.col("at") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    index = written(groups.withColumn("vid", F.monotonically_increasing_id()).repartition(partitions(spark)), "index")
+    size = rows.count() * max(1, lengths["length"]) * 8
+    pieces = max(partitions(spark), -(-size // PIECE_BYTES))
+    piece = F.pmod(F.xxhash64("vector"), F.lit(pieces)).cast("int")
+    index = written(groups.select(F.monotonically_increasing_id().alias("vid"), piece.alias("piece"), "vector", "ids"), "index")
     asked = rows.where(F.col("id") % every == 0)
     queries = written(asked.groupBy("vector").agg(F.lit(1).alias("one")).select("vector", F.monotonically_increasing_id().alias("qid")), "asked")
 
@@ -202,23 +205,19 @@ def search(vectors: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", v
     sample = np.array([r[0] for r in by_hash(index.select("vector"), SAMPLE).collect()], np.float64)
     coder = Coder.learn(sample, max(PART, BITS // PART * PART))
     shared = sc.broadcast(coder)
-    probes = by_hash(queries, PROBES).collect()
-    if not probes:
-        return spark.createDataFrame([], out)
-    probe = sc.broadcast((np.array([r["qid"] for r in probes]), np.array([r["vector"] for r in probes], np.float64)))
-    true = _nearest(_search(index, shared, probe, None, k + 1), k + 1).where("at > 1").select("differ").collect()
+    probes = by_hash(queries, PROBES)
+    true = _nearest(_search(index, pieces, shared, probes, None, k + 1), k + 1).where("at > 1").select("differ").collect()
     radius = int(np.quantile([r["differ"] for r in true], COVER, method="higher")) if true else BITS
 
-    found = []
-    for block in _blocks(queries):
-        found.append(written(_nearest(_search(index, shared, sc.broadcast(block), radius, k + 1), k + 1), "found"))
-    few = queries.join(_all(found).groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > k), "qid", "left_anti")
+    found = written(_nearest(_search(index, pieces, shared, queries, radius, k + 1), k + 1), "found")
+    few = queries.join(found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") > k), "qid", "left_anti")
     few = written(few, "few")
     if not few.isEmpty():
-        whole = [written(_nearest(_search(index, shared, sc.broadcast(b), None, k + 1), k + 1), "found") for b in _blocks(few)]
-        found = [_all(found).join(few.select("qid"), "qid", "left_anti"), *whole]
+        whole = written(_nearest(_search(index, pieces, shared, few, None, k + 1), k + 1), "found")
+        found = found.join(few.select("qid"), "qid", "left_anti").unionByName(whole)
+    discard(spark, index)
     entry = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("down"), i.alias("vec_id"), F.col("score").alias("score")))
-    lists = _all(found).groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list(entry))).alias("near"))  # at most (k + 1) squared
+    lists = found.groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list(entry))).alias("near"))  # at most (k + 1) squared
     named = asked.join(queries, "vector").select("qid", F.col("id").alias("query_id")).join(lists, "qid")
     near = F.slice(F.filter("near", lambda e: e["vec_id"] != F.col("query_id")), 1, k)
     return named.select("query_id", F.posexplode(near).alias("at", "e")).select(
@@ -226,12 +225,5 @@ def search(vectors: DataFrame, every: int, k: int = K, vec_id: str = "vec_id", v
     )
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
-    return out
-
-
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 20)

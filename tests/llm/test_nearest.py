@@ -65,3 +65,7 @@ def test_blocks_of_queries(spark, monkeypatch):
     want = got(search(table, 2, 3))
     monkeypatch.setattr(nearest, "BLOCK", 7)
     assert got(search(table, 2, 3)) == want
+    monkeypatch.setattr(nearest, "PIECE_BYTES", 640)  # pieces of ten vectors
+    many = got(search(table, 2, 3))
+    assert many.keys() == want.keys() and sum(len({j for j, _ in want[q]} & {j for j, _ in many[q]}) for q in want) >= 0.9 * 3 * len(want)
+    assert many == got(search(table.repartition(3), 2, 3))
