@@ -29,7 +29,13 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tabloom"
+    return qualified(spark, f"{base.rstrip('/')}/tabloom")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark takes it to have: the session's own file system if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 #: Bytes of a row group of a written table: what a writing task buffers.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import partitions, scratch, small_batches, tidied, written
+from .shared import counted, partitions, qualified, scratch, small_batches, tidied, written
 
 #: Bytes after which a task begins another archive; the largest gap that one read runs over, and the largest read.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES = 1 << 30, 64 << 10, 8 << 20
@@ -65,18 +65,21 @@ def parse(raw: bytes) -> dict:
 
 
 def _open(base: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(base if "://" in base or base.startswith("file:") else f"file://{base}")
+    """The store and path of a qualified folder."""
+    return fs.FileSystem.from_uri("file://" + base.removeprefix("file:") if base.startswith("file:/") and not base.startswith("file://") else base)
 
 
 def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) with payload, keeper: of equal payloads of `least` bytes or more, the largest page_id.
 
-    Only payloads that occur again are kept in the second table. Payloads meet it in a join whose large partitions
-    Spark may split, since one payload may be a third of all rows."""
+    Only digests are shuffled to find the payloads that occur again; one of a third of all rows is a few partial counts
+    by then. Their table is broadcast while it is small, so that no payload moves. Beyond that payloads meet it in a
+    join whose large partitions Spark may split."""
     sized = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    sized = sized.withColumn("sha1", F.sha1("payload"))
+    sized = sized.withColumn("sha1", F.unhex(F.sha1("payload")))
     again = sized.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper"))
-    return sized.join(again.where("n > 1").drop("n"), "sha1", "left").drop("sha1")
+    keepers = counted(written(again.where("n > 1").drop("n"), "keepers"))
+    return sized.join(keepers, "sha1", "left").drop("sha1")
 
 
 def write_archives(marked: DataFrame, base: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -84,6 +87,7 @@ def write_archives(marked: DataFrame, base: str, archive_bytes: int = ARCHIVE_BY
     file, offset, length, url, digest and type of each record. The index is written before it is used. A task that
     runs again writes files of new names; only the files in the index of a finished task are ever read."""
     schema = T._parse_datatype_string(INDEX)
+    base = qualified(marked.sparkSession, base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(base)
@@ -132,6 +136,7 @@ def read_records(index: DataFrame, base: str) -> DataFrame:
     """The records of the index rows given. Rows are sorted by file and offset over the tasks, so that each task reads
     long ranges of few files. html is null for a revisit; its digest is the one in its header."""
     schema = T._parse_datatype_string(READ)
+    base = qualified(index.sparkSession, base)
     order = ["file", "offset"]
     sorted_ = index.select("file", "offset", "length", "url").repartitionByRange(partitions(index.sparkSession), *order).sortWithinPartitions(*order)
 

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+from tabloom.llm import shared
 from tabloom.llm.warc import parse, ranges, record, round_trip, write_archives, mark_revisits
 
 
@@ -36,6 +37,17 @@ def test_awkward(spark):
     assert round_trip(pages.where("false")).collect() == []
 
 
+def test_payloads_move_only_beyond_the_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", "same" if i % 3 == 0 else f"own {i}") for i in range(60)], "page_id long, url string, html string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    small = mark_revisits(pages)
+    assert "strategy=broadcast" in plan(small)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    large = mark_revisits(pages)
+    assert "strategy=broadcast" not in plan(large)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
 def test_threshold(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     assert {r.page_id for r in round_trip(pages, least=3).collect() if r.record_type == "revisit"} == {3}
