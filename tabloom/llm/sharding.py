@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import discard, partitions, written
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -41,7 +41,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     a gap and without bringing a shard into one task: rows are ranged over tasks by (shard, key), each task numbers its
     own, and the counts of the tasks before it, one row per task and shard, are added.
     A null text has size 1 and the CRC of no bytes; null keys count as one key, whose rows
-    come first in slot order; repeated rows get slots of their own; other columns are ignored; an empty table gives no row.
+    come first in slot order; very long texts count whole; repeated rows get slots of their own; other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
     content = F.coalesce(F.col(text), F.lit(""))
@@ -58,6 +58,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     ranged = written(
         ranged.withColumns({"task": F.shiftright(at, 33).cast("int"), "at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "ranged"
     )
+    discard(spark, sized)
     runs = ranged.groupBy("shard", "task").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # at most one row per task and shard boundary: tasks + shards rows

@@ -9,6 +9,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import boxed
+
 #: (verdict, host, path) of the query; fixed values.
 RULES = [
     ("allow", "org", "/"),
@@ -108,11 +110,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "
     spark = pages.sparkSession
     best = None
     for block in blocks(list(rules), most):
-        fitted = _fit(spark.sparkContext.broadcast(Trie(block)))(F.col(url))
+        fitted = _fit(spark.sparkContext.broadcast(Trie(block)))(F.col(f"`{url}`"))
         best = fitted if best is None else F.when(fitted["rank"] > best["rank"], fitted).otherwise(best)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return pages.select(*kept, best.alias("_fit")).select(
-        *kept, "_fit.host", "_fit.path", "_fit.rule", F.coalesce("_fit.verdict", F.lit(default)).alias("verdict")
+    return boxed(pages, fit=best).select(
+        *[F.col(f"row.`{c}`").alias(c) for c in kept], "fit.host", "fit.path", "fit.rule", F.coalesce("fit.verdict", F.lit(default)).alias("verdict")
     )
 
 

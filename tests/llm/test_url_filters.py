@@ -27,3 +27,9 @@ def test_block_wins_over_an_equal_allow_and_default(spark):
     assert [r.verdict for r in judge_urls(urls, rules, default="block").collect()] == ["block", "block"]
     assert judge_urls(urls.where("false"), rules).collect() == []
     assert {r.verdict for r in judge_urls(urls, []).collect()} == {"allow"}
+
+
+def test_columns_of_any_name_stay(spark):
+    urls = spark.createDataFrame([(1, "http://b.com/de/x", "a", "b", "c", "d", "e")], "page_id long, `the.url` string, _fit string, `a.b` string, row string, fit string, rule string")
+    row = judge_urls(urls, RULES, url="the.url").collect()[0]
+    assert row.asDict() == {"page_id": 1, "the.url": "http://b.com/de/x", "_fit": "a", "a.b": "b", "row": "c", "fit": "d", "host": "b.com", "path": "/de/x", "rule": "com/de/", "verdict": "block"}
