@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import floor
+from collections.abc import Hashable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import number, one_row
+from .core import number, one_row, quoted, value
 
-#: Non-null values up to which one exact percentile aggregate holds a column; above, quantiles are selected in brackets.
-EXACT_VALUES = 20_000_000
+#: Non-null values up to which an exact percentile aggregate holds a column at once, and values that the aggregates of
+#: one job hold together; more are bracketed by sketches of this accuracy first.
+EXACT_VALUES, HELD_VALUES, ACCURACY = 50_000, 2_000_000, 10_000
 
 
 def div(a: Column, b: Column) -> Column:
@@ -28,45 +31,132 @@ def sample_kurtosis(c: Column) -> Column:
     return F.when(n > 3, (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
-def quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float], exact_values: int = EXACT_VALUES) -> dict[str, list[float | None]]:
-    """Exact quantiles with linear interpolation of each column, in one job while the columns are of moderate size.
-
-    A percentile aggregate keeps every distinct value in one task. Past `exact_values` the approximate quantiles around
-    each wanted one bracket it, and only the values between are kept; brackets narrow until they are small."""
-    counts = one_row(df, {n: F.count(number(df, n)) for n in names})
-    small = [n for n in names if counts[n] <= exact_values]
-    out: dict = {}
-    if small:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        out = one_row(df, {n: F.percentile(number(df, n), probs) for n in small})
-    for n in names:
-        if n not in out:
-            values = {k: order_statistic(df, n, k, counts[n], exact_values) for p in probabilities for k in _around(p, counts[n])}
-            out[n] = [values[a] + (values[b] - values[a]) * (p * (counts[n] - 1) - a) for p in probabilities for a, b in [_around(p, counts[n])]]
-    return {n: list(out[n]) if out[n] is not None else [None] * len(probabilities) for n in names}
-
-
-def _around(p: float, n: int) -> tuple[int, int]:
-    low = floor(p * (n - 1))
-    return low, min(low + 1, n - 1)
-
-
-def order_statistic(df: DataFrame, name: str, k: int, n: int, most: int) -> float:
-    """The k-th smallest value (from 0), by brackets of approximate quantiles."""
-    c, below = number(df, name), 0
-    rows = df.select(c.alias("v")).where("v is not null")
-    while n > most:
-        slack = 2e-4
-        low, high = rows.agg(F.percentile_approx("v", [max(0.0, k / n - slack), min(1.0, (k + 1) / n + slack)], 100_000).alias("q")).first()["q"]
-        less, inside = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
-        if low == high and less <= k < less + inside:
-            return low
-        if not less <= k < less + inside or inside == n:
-            break
-        rows, k, n, below = rows.where(F.col("v").between(low, high)), k - less, inside, below + less
-    held = rows.groupBy("v").agg(F.count("*").alias("c"))
-    at = held.withColumn("to", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    return at.where(F.col("to") > k).agg(F.min("v")).first()[0]
+def distinct_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(feature, n_unique): exact numbers of distinct values, nulls apart. Each column is grouped by itself, so that a
+    scan reads it once and only its own values are shuffled, after partial grouping; no row is expanded."""
+    parts = [
+        df.select(value(df, n).alias("v")).where("v is not null").distinct().agg(F.count("*").alias("n_unique")).select(F.lit(n).alias("feature"), "n_unique") for n in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def n_distinct(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
+    return {r["feature"]: r["n_unique"] for r in distinct_counts(df, names).collect()} if names else {}
+
+
+def quantiles(df: DataFrame, names: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation of each column."""
+    return quantiles_of(df, {n: number(df, n) for n in names}, probabilities)
+
+
+@dataclass
+class _Rank:
+    """A place in a column's order, from 0, that lies among the `inside` values strictly between low and high; `below`
+    values are smaller."""
+
+    label: Hashable
+    rank: int
+    inside: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+
+    def between(self, c: Column) -> Column:
+        c_low = F.lit(True) if self.low is None else c > F.lit(self.low)
+        return c.isNotNull() & c_low & (F.lit(True) if self.high is None else c < F.lit(self.high))
+
+    def share(self) -> float:
+        return (self.rank - self.below) / max(self.inside - 1, 1)
+
+
+def quantiles_of(
+    df: DataFrame, columns: dict[Hashable, Column], probabilities: Sequence[float], exact: int = EXACT_VALUES, held: int = HELD_VALUES, accuracy: int = ACCURACY
+) -> dict[Hashable, list[float | None]]:
+    """Exact quantiles with linear interpolation of each expression; null where it has no value.
+
+    A percentile aggregate keeps every distinct value in one task, so it only sees a bounded number: sketches of all
+    columns bracket each place, the values up to and inside the bracket are counted, and brackets narrow again until the
+    values inside are few. That takes three jobs for all columns together, two more for each factor of some thousands."""
+    doubles = {label: c.cast("double") for label, c in columns.items()}
+    counts = one_row(df, {label: F.count(c) for label, c in doubles.items()})
+    places = {(label, k) for label, n in counts.items() for p in probabilities if n for k in (floor(p * (n - 1)), ceil(p * (n - 1)))}
+    todo = [_Rank(label, k, counts[label]) for label, k in sorted(places, key=str)]
+    found: dict[tuple, float] = {}
+    most = exact
+    while todo:
+        found |= _exact(df, doubles, [r for r in todo if r.inside <= most], held)
+        todo = [r for r in todo if r.inside > most]
+        if todo:
+            found |= _narrow(df, doubles, todo, accuracy)
+            todo = [r for r in todo if (r.label, r.rank) not in found]
+        most = max(exact, held // 2)
+
+    def at(label: Hashable, p: float) -> float | None:
+        if not counts[label]:
+            return None
+        position = p * (counts[label] - 1)
+        a, b = found[label, floor(position)], found[label, ceil(position)]
+        return a if a == b else a + (b - a) * (position - floor(position))
+
+    return {label: [at(label, p) for p in probabilities] for label in doubles}
+
+
+def _exact(df: DataFrame, columns: dict, ranks: list[_Rank], held: int) -> dict[tuple, float]:
+    """The values at places among few, some brackets at a time."""
+    groups: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        groups.setdefault((r.label, r.low, r.high), []).append(r)
+    out: dict[tuple, float] = {}
+    job: dict[tuple, Column] = {}
+    size = 0
+    for i, (key, some) in enumerate(groups.items()):
+        c = columns[key[0]]
+        job[key] = F.percentile(F.when(some[0].between(c), c), F.array(*[F.lit(r.share()) for r in some]))
+        size += some[0].inside
+        if size >= held or i + 1 == len(groups):
+            for k, values in one_row(df, job).items():
+                out |= {(r.label, r.rank): v for r, v in zip(groups[k], values, strict=True)}
+            job, size = {}, 0
+    return out
+
+
+def _narrow(df: DataFrame, columns: dict, ranks: list[_Rank], accuracy: int) -> dict[tuple, float]:
+    """Narrower brackets, from a job of sketches and one of counts; the values of the places at a bracket's ends."""
+    groups: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        groups.setdefault((r.label, r.low, r.high), []).append(r)
+    slack = 2 / accuracy
+    asked = {}
+    for key, some in groups.items():
+        c, ends = columns[key[0]], [x for r in some for x in (max(0.0, r.share() - slack), min(1.0, r.share() + slack))]
+        asked[key] = F.percentile_approx(F.when(some[0].between(c), c), F.array(*[F.lit(x) for x in ends]), F.lit(accuracy))
+    ends = {id(r): tuple(values[2 * i : 2 * i + 2]) for key, values in one_row(df, asked).items() for i, r in enumerate(groups[key])}
+    number_of = {}
+    for r in ranks:
+        c, (low, high) = columns[r.label], ends[id(r)]
+        number_of[r.label, "<", low] = F.count_if(c < F.lit(low))
+        number_of[r.label, "=", low] = F.count_if(c == F.lit(low))
+        number_of[r.label, "=", high] = F.count_if(c == F.lit(high))
+        number_of[r.label, low, high] = F.count_if((c > F.lit(low)) & (c < F.lit(high)))
+    n = one_row(df, number_of)
+    found = {}
+    for r in ranks:
+        low, high = ends[id(r)]
+        start = n[r.label, "<", low]
+        inner = start + n[r.label, "=", low]
+        outer = inner + n[r.label, low, high]
+        stop = outer + n[r.label, "=", high] if high > low else inner
+        if start <= r.rank < inner:
+            found[r.label, r.rank] = low
+        elif inner <= r.rank < outer:
+            r.low, r.high, r.below, r.inside = low, high, inner, outer - inner
+        elif outer <= r.rank < stop:
+            found[r.label, r.rank] = high
+        elif r.rank < start:  # the sketch was off: what lies before the bracket is left, or what lies after it
+            r.high, r.inside = low, start - r.below
+        else:
+            r.low, r.inside, r.below = high, r.below + r.inside - stop, stop
+    return found
 
 
 def contingency(df: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -110,7 +200,34 @@ def association(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def average_ranks(counts: DataFrame, keys: Sequence[str], by: str = "value", n: str = "n") -> DataFrame:
-    """Counts by value with the average rank of each value; the window runs over values, not rows."""
-    before = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("rank", F.coalesce(F.sum(n).over(before), F.lit(0)) + (F.col(n) + 1) / 2)
+#: Rows of a key that one window orders; a key of more is cut into ranges of about as many, WINDOWS at most.
+WINDOW_ROWS, WINDOWS = 4_000_000, 1000
+
+
+def running(table: DataFrame, keys: Sequence[str], by: str, sums: Sequence[str], rows: int, window_rows: int | None = None) -> DataFrame:
+    """table (one row for each key and value of the number `by`) with before_<s> for each s of sums: the sum of s over
+    the smaller values of the key. `rows` bounds the rows of a key.
+
+    A key of many values isn't ordered in one task: approximate quantiles cut it into ranges, each range has a window of
+    its own, and the sums of the ranges before it, one row for each, are added."""
+    parts = min(WINDOWS, -(-rows // (window_rows or WINDOW_ROWS)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    if parts <= 1:
+        over = before(Window.partitionBy(*keys).orderBy(by))
+        return table.withColumns({f"before_{s}": zero(F.sum(s).over(over)) for s in sums})
+    cuts = F.percentile_approx(by, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts)).alias("_cuts")
+    cuts = table.groupBy(*keys).agg(cuts)
+    met = table.join(F.broadcast(cuts), list(keys)) if keys else table.crossJoin(F.broadcast(cuts))  # one row
+    met = met.withColumn("_range", F.size(F.filter("_cuts", lambda x: x < quoted(by)))).drop("_cuts")
+    inside = before(Window.partitionBy(*keys, "_range").orderBy(by))
+    whole = met.groupBy(*keys, "_range").agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
+    earlier = before(Window.partitionBy(*keys).orderBy("_range"))
+    whole = whole.select(*keys, "_range", *[zero(F.sum(f"_s_{s}").over(earlier)).alias(f"_b_{s}") for s in sums])
+    out = met.withColumns({f"before_{s}": zero(F.sum(s).over(inside)) for s in sums}).join(F.broadcast(whole), [*keys, "_range"])
+    return out.select(*[quoted(c) for c in table.columns], *[(F.col(f"before_{s}") + F.col(f"_b_{s}")).alias(f"before_{s}") for s in sums])
+
+
+def average_ranks(counts: DataFrame, keys: Sequence[str], rows: int, by: str = "value", n: str = "n") -> DataFrame:
+    """Counts by value with the average rank of each value; windows run over ranges of values, not over rows."""
+    return running(counts, keys, by, [n], rows).withColumn("rank", F.col(f"before_{n}") + (F.col(n) + 1) / 2).drop(f"before_{n}")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import one_row, quoted, require, unpivot, value
+from ..functions.stats import n_distinct
 
 
 def drop_highly_skewed_categorical_features(df: DataFrame, features: Sequence[str], threshold: float = 0.99) -> tuple[DataFrame, list[str]]:
@@ -57,27 +58,32 @@ def duplicate_columns(df: DataFrame, id_col: str | None = None) -> list[str]:
     return gone
 
 
+def _distinct_and_null(df: DataFrame) -> dict[tuple[str, str], int]:
+    nulls = one_row(df, {("null", c): F.count_if(value(df, c).isNull()) for c in df.columns} | {("rows", ""): F.count("*")})
+    return nulls | {("n", c): n for c, n in n_distinct(df, df.columns).items()}
+
+
 def remove_bijective_features(df: DataFrame, max_unique: int = 1000) -> tuple[DataFrame, list[str]]:
     """df without the columns that map one to one to an earlier one. Candidates have 2 to `max_unique` values, fewer
-    than there are rows, and no null; only columns of as many values are paired, all pairs in one aggregate."""
-    stats = one_row(df, {("n", c): F.count_distinct(value(df, c)) for c in df.columns} | {("null", c): F.count_if(value(df, c).isNull()) for c in df.columns} | {("rows", ""): F.count("*")})
+    than there are rows, and no null; only columns of as many values are paired, all pairs in one job."""
+    stats = _distinct_and_null(df)
     groups = defaultdict(list)
     for c in df.columns:
         n = stats["n", c]
         if not stats["null", c] and 1 < n <= max_unique and n < stats["rows", ""]:
             groups[n].append(c)
     pairs = [p for g in groups.values() for p in combinations(g, 2)]
-    both = one_row(df, {p: F.count_distinct(F.struct(quoted(p[0]), quoted(p[1]))) for p in pairs}, 100)
+    both = n_distinct(df.select(*[F.struct(quoted(a), quoted(b)).alias(str(i)) for i, (a, b) in enumerate(pairs)]), [str(i) for i in range(len(pairs))])
     gone: list[str] = []
-    for a, b in pairs:
-        if both[a, b] == stats["n", a] and a not in gone and b not in gone:
+    for i, (a, b) in enumerate(pairs):
+        if both[str(i)] == stats["n", a] and a not in gone and b not in gone:
             gone.append(b)
     return df.drop(*gone), gone
 
 
 def initial_features_removal(df: DataFrame, id_col: str | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
     """df without constant columns (null is a value), empty ones, duplicates and one-to-one copies, in this order."""
-    stats = one_row(df, {("n", c): F.count_distinct(value(df, c)) for c in df.columns} | {("null", c): F.count_if(value(df, c).isNull()) for c in df.columns} | {("rows", ""): F.count("*")})
+    stats = _distinct_and_null(df)
     total = stats["rows", ""]
     empty = [c for c in df.columns if total and stats["null", c] == total]
     constant = [c for c in df.columns if stats["n", c] + (stats["null", c] > 0) == 1 and c not in empty]

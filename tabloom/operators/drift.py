@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import distinct_edges, left_closed
-from ..functions.core import is_numeric, number, numeric_columns, require, unpivot
+from ..functions.core import is_numeric, number, numeric_columns, one_row, require, unpivot
 from ..functions.special import chi2_tail, kolmogorov_tail
-from ..functions.stats import quantiles
+from ..functions.stats import quantiles, running
 
 FLOOR = 1e-6
+DRIFT = "feature string, ks double, ks_p_value double, wasserstein double, smd double, psi double, mean_change_pct double, std_ratio double, flag string"
 
 
 def _psi(p: Column, q: Column) -> Column:
@@ -56,32 +57,30 @@ def numerical_drift_analysis(train: DataFrame, test: DataFrame, features: Sequen
     features = list(features or [c for c in numeric_columns(train) if c in test.columns and is_numeric(test.schema[c].dataType)])
     require(train, features)
     require(test, features)
-    counts = _sides(train, test, features, "double")
-    per = Window.partitionBy("feature")
-    run = per.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    t = counts.withColumns({"na": F.sum("a").over(per), "nb": F.sum("b").over(per)}).where("na >= 2 and nb >= 2")
-    t = t.withColumns({"fa": F.sum("a").over(run) / F.col("na"), "fb": F.sum("b").over(run) / F.col("nb"), "next": F.lead("value").over(per.orderBy("value"))})
-    gap = F.abs(F.col("fa") - F.col("fb"))
-    moment = lambda side, power: F.sum(F.col(side) * F.pow("value", power)) / F.max(f"n{side}")
-    rows = t.groupBy("feature").agg(
-        F.max("na").alias("na"), F.max("nb").alias("nb"), F.max(gap).alias("ks"), F.coalesce(F.sum(gap * (F.col("next") - F.col("value"))), F.lit(0.0)).alias("w"),
-        moment("a", 1).alias("ma"), moment("b", 1).alias("mb"),
-    )
-    # second moments about the means, so that large values don't cancel
-    second = t.join(F.broadcast(rows.select("feature", "ma", "mb")), "feature").groupBy("feature").agg(
-        (F.sum(F.col("a") * F.pow(F.col("value") - F.col("ma"), 2)) / F.max("na")).alias("va"), (F.sum(F.col("b") * F.pow(F.col("value") - F.col("mb"), 2)) / F.max("nb")).alias("vb")
-    )
+    moments = [one_row(df, {(k, f): a(number(df, f)) for f in features for k, a in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))}) for df in (train, test)]
+    features = [f for f in features if min(m["n", f] for m in moments) >= 2]
+    if not features:
+        return train.sparkSession.createDataFrame([], DRIFT)
+    rows = max(moments[0]["n", f] + moments[1]["n", f] for f in features)
+    t = running(_sides(train, test, features, "double"), ["feature"], "value", ["a", "b"], rows)
+    size = lambda m: F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.lit(m["n", f]))]), F.col("feature"))
+    gap = lambda a, b: F.abs(a / size(moments[0]) - b / size(moments[1]))
+    # the distance between the distributions at a value, and from there to the next one
+    here = gap(F.col("before_a") + F.col("a"), F.col("before_b") + F.col("b"))
+    # a sum over the gaps between neighbours: each value closes the gap that the one before it opened
+    centre = F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.lit(moments[0]["mean", f]))]), F.col("feature"))
+    step = (gap(F.col("before_a"), F.col("before_b")) - here) * (F.col("value") - centre)
+    found = {r["feature"]: r for r in t.groupBy("feature").agg(F.max(here).alias("ks"), F.sum(step).alias("w")).collect()}
     psi, out = _psi_of(train, test, features, n_bins), []
-    for r in rows.join(second, "feature").collect():
-        sa, sb = r["va"] ** 0.5, r["vb"] ** 0.5
-        pooled = ((r["va"] + r["vb"]) / 2) ** 0.5
-        p = psi.get(r["feature"])
+    for f in features:
+        (na, ma, va), (nb, mb, vb) = ((m["n", f], m["mean", f], m["var", f]) for m in moments)
+        sa, sb, pooled, ks, p = va**0.5, vb**0.5, ((va + vb) / 2) ** 0.5, found[f]["ks"], psi.get(f)
         out.append((
-            r["feature"], r["ks"], kolmogorov_tail(r["ks"], r["na"], r["nb"]), r["w"], (r["mb"] - r["ma"]) / pooled if pooled else 0.0, p,
-            100 * (r["mb"] - r["ma"]) / abs(r["ma"]) if r["ma"] else None, sb / sa if sa else None, drift_flag(r["ks"], (0.05, 0.10, 0.20), p),
+            f, ks, kolmogorov_tail(ks, na, nb), max(found[f]["w"], 0.0), (mb - ma) / pooled if pooled else 0.0, p,
+            100 * (mb - ma) / abs(ma) if ma else None, sb / sa if sa else None, drift_flag(ks, (0.05, 0.10, 0.20), p),
         ))
     out.sort(key=lambda r: (-r[1], r[0]))
-    return train.sparkSession.createDataFrame(out, "feature string, ks double, ks_p_value double, wasserstein double, smd double, psi double, mean_change_pct double, std_ratio double, flag string")
+    return train.sparkSession.createDataFrame(out, DRIFT)
 
 
 def drift_flag(distance: float, limits: Sequence[float], psi: float | None) -> str:

@@ -63,7 +63,7 @@ def auc_table(df: DataFrame, score: Column, positive: Column, keys: Sequence[Col
     names = [f"k{i}" for i in range(len(keys))]
     counts = df.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], score.cast("double").alias("value"), positive.cast("int").alias("p"))
     counts = counts.groupBy(*names, "value").agg(F.count("*").alias("n"), F.sum("p").alias("p"))
-    ranked = average_ranks(counts, names)
+    ranked = average_ranks(counts, names, df.count())
     pos, n = F.sum("p").cast("double"), F.sum("n").cast("double")
     return ranked.groupBy(*names).agg(F.try_divide(F.sum(F.col("p") * F.col("rank")) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auc"))
 
@@ -183,7 +183,7 @@ METRICS: dict[str, tuple[Metric, str, str]] = {
     **{
         f"{m}{suffix}": (_class_metric(f"{column}_{average}"), "preds", "maximize")
         for m, column in (("F1", "f1"), ("Recall", "recall"), ("Precision", "precision"))
-        for suffix, average in (("", "binary"), (" Micro", "micro"), (" Macro", "macro"), (" Weighted", "weighted"))
+        for suffix, average in (("", "binary"), (" (Micro)", "micro"), (" (Macro)", "macro"), (" (Weighted)", "weighted"))
     },
     "Roc AUC": (roc_auc, "probs", "maximize"),
     "Roc AUC (Multi-class)": (roc_auc_ovr, "probs", "maximize"),

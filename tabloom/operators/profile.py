@@ -11,31 +11,33 @@ from pyspark.sql import functions as F
 
 from ..functions.core import is_numeric, number, numeric_columns, one_row, quoted, require, string_columns, unpivot, value
 from ..functions.special import chi2_tail
-from ..functions.stats import association, average_ranks, div, quantiles, sample_kurtosis, sample_skewness
+from ..functions.stats import association, average_ranks, distinct_counts, div, n_distinct, quantiles, quantiles_of, running, sample_kurtosis, sample_skewness
 
 #: Calendar parts by frequency name.
 PARTS = {"YE": F.year, "ME": F.month, "W": F.weekofyear, "D": F.dayofmonth, "H": F.hour}
 
 
 def base_information(df: DataFrame) -> DataFrame:
-    """Per column its type, missing values, distinct values and count, from one pass."""
+    """Per column its type, missing values, distinct values and count: one pass, and each column's own grouping."""
     total = F.count("*")
     rows = []
-    for f in df.schema:
+    for i, f in enumerate(df.schema):
         c = value(df, f.name)
         rows.append(
             F.struct(
-                F.lit(f.name).alias("feature"), F.lit(f.dataType.simpleString()).alias("dtype"), (total - F.count(c)).alias("n_missing"),
-                F.coalesce(div((total - F.count(c)) * 100, total), F.lit(0.0)).alias("pct_missing"), F.count_distinct(c).alias("n_unique"), F.count(c).alias("n"),
+                F.lit(i).alias("at"), F.lit(f.name).alias("feature"), F.lit(f.dataType.simpleString()).alias("dtype"), (total - F.count(c)).alias("n_missing"),
+                F.coalesce(div((total - F.count(c)) * 100, total), F.lit(0.0)).alias("pct_missing"), F.count(c).alias("n"),
             )
         )
-    return df.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    base = df.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    found = base.join(F.broadcast(distinct_counts(df, df.columns)), "feature")  # a row for each column
+    return found.orderBy("at").select("feature", "dtype", "n_missing", "pct_missing", "n_unique", "n")
 
 
 def get_categorical_features(df: DataFrame, unique_threshold: int = 100, any_binary: bool = True) -> list[str]:
     """String columns of fewer than `unique_threshold` values, and columns of exactly two; sorted."""
-    found = one_row(df, {c: F.count_distinct(value(df, c)) for c in df.columns})
     strings = set(string_columns(df))
+    found = n_distinct(df, df.columns if any_binary else sorted(strings))
     return sorted(c for c, n in found.items() if (c in strings and n < unique_threshold) or (any_binary and n == 2))
 
 
@@ -56,19 +58,25 @@ def extract_unique_items(c: Column) -> Column:
     return items(c)
 
 
+#: Quantiles of a summary.
+CUTS = {"p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
+
+
 def _summary(c: Column) -> dict[str, Column]:
-    q = F.percentile(c, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
     total = F.count("*")
     return {
-        "count": F.count(c), "mean": F.avg(c), "std": F.stddev(c), "min": F.min(c), "p05": q[0], "q1": q[1], "median": q[2], "q3": q[3],
-        "p95": q[4], "max": F.max(c), "variance": F.variance(c), "skewness": sample_skewness(c), "kurtosis": sample_kurtosis(c),
+        "count": F.count(c), "mean": F.avg(c), "std": F.stddev(c), "min": F.min(c), "max": F.max(c), "variance": F.variance(c),
+        "skewness": sample_skewness(c), "kurtosis": sample_kurtosis(c),
         "missing": total - F.count(c), "missing_pct": F.coalesce(div((total - F.count(c)) * 100, total), F.lit(0.0)),
     }
 
 
 def describe_numerical_feature(df: DataFrame, feature: str) -> DataFrame:
     require(df, [feature])
-    return df.agg(*[c.alias(n) for n, c in _summary(number(df, feature)).items()])
+    cuts = quantiles(df, [feature], list(CUTS.values()))[feature]
+    found = df.agg(*[c.alias(n) for n, c in _summary(number(df, feature)).items()])
+    order = ["count", "mean", "std", "min", *CUTS, "max", "variance", "skewness", "kurtosis", "missing", "missing_pct"]
+    return found.withColumns({n: F.lit(q).cast("double") for n, q in zip(CUTS, cuts, strict=True)}).select(*order)
 
 
 def _top(counts: DataFrame, top_n: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -142,8 +150,8 @@ def bin_regression_target(df: DataFrame, target: str, n_quantiles: int = 4, id_c
     require(df, [target])
     c = number(df, target)
     counts = df.where(c.isNotNull()).groupBy(c.alias("_v")).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = counts.select("_v", before.alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    total = df.agg(F.count(c)).first()[0]
+    places = running(counts, [], "_v", ["_c"], total).select("_v", F.col("before__c").alias("_before"), F.lit(total).alias("_n"))
     tie = quoted(id_col) if id_col else F.monotonically_increasing_id()
     ranked = df.withColumn("_v", c).join(places, "_v", "left")
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_v").orderBy(tie)) - 1
@@ -168,9 +176,15 @@ def describe_feature_by_target(df: DataFrame, feature: str, target: str, problem
     require(df, [feature])
     grouped, by = _by_target(df, target, problem_type, n_quantiles, id_col)
     keep = ("count", "mean", "std", "min", "q1", "median", "q3", "max", "skewness", "missing_pct")
-    aggs = [c.alias(n) for n, c in _summary(number(df, feature)).items() if n in keep]
-    each = grouped.where(quoted(by).isNotNull()).groupBy(quoted(by).alias("group")).agg(*aggs)
-    return each.unionByName(df.agg(*aggs).withColumn("group", F.lit("Overall"))).select("group", *keep)
+    x = F.col("_x")
+    rows = grouped.select(quoted(by).alias("group"), number(df, feature).alias("_x"))
+    aggs = [c.alias(n) for n, c in _summary(x).items() if n in keep]
+    found = rows.where("group is not null").groupBy("group").agg(*aggs).unionByName(rows.agg(*aggs).withColumn("group", F.lit("Overall")))
+    groups = [r[0] for r in rows.where("group is not null").select("group").distinct().collect()]
+    own = {g: F.when(F.col("group") == F.lit(g), x) for g in groups}
+    cuts = quantiles_of(rows, own | {"Overall": x}, [0.25, 0.5, 0.75])
+    table = df.sparkSession.createDataFrame([(g, *q) for g, q in cuts.items()], "group string, q1 double, median double, q3 double")
+    return found.join(F.broadcast(table), "group").select("group", *keep)
 
 
 def numerical_target_association(
@@ -182,34 +196,37 @@ def numerical_target_association(
     grouped, by = _by_target(df, target, problem_type, n_quantiles, id_col)
     long = unpivot(grouped, features, "double", [by]).where(f"value is not null and `{by}` is not null").withColumnRenamed(by, "cls")
     counts = long.groupBy("feature", "cls", "value").agg(F.count("*").alias("n")).persist()
+    n_rows = counts.groupBy("feature").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
     each = counts.groupBy("feature", "value").agg(F.sum("n").alias("n"))
     ties = each.groupBy("feature").agg(F.sum(F.pow("n", 3) - F.col("n")).alias("ties"))
-    ranks = counts.join(average_ranks(each, ["feature"]).select("feature", "value", "rank"), ["feature", "value"])
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    groups = ranks.groupBy("feature", "cls").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("value")).alias("s"), F.sum(F.col("n") * F.col("value") ** 2).alias("ss"), F.sum(F.col("n") * F.col("rank")).alias("r"), q.alias("q")
-    )
-    whole = counts.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("all"))
-    rows = groups.groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.pow("s", 2) / F.col("n")).alias("between"),
-        F.sum(F.pow("r", 2) / F.col("n")).alias("h"), F.count("*").alias("k"),
-        F.array_sort(F.collect_list(F.struct("cls", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")))).alias("classes"),
-    ).join(ties, "feature").join(whole, "feature").collect()
+    ranks = counts.join(average_ranks(each, ["feature"], n_rows).select("feature", "value", "rank"), ["feature", "value"])
+    moments = long.groupBy("feature", "cls").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+    groups = ranks.groupBy("feature", "cls").agg(F.sum(F.col("n") * F.col("rank")).alias("r")).join(moments, ["feature", "cls"])
+    found: dict[str, list] = {}
+    for r in groups.collect():
+        found.setdefault(r["feature"], []).append(r)
+    tied = {r["feature"]: r["ties"] for r in ties.collect()}
     counts.unpersist()
+    one = grouped.where(quoted(by).isNotNull()).select(quoted(by).alias("_cls"), *[number(df, f).alias(f) for f in features])
+    cuts = quantiles_of(one, {(f, r["cls"]): F.when(F.col("_cls") == F.lit(r["cls"]), quoted(f)) for f in found for r in found[f]}, [0.25, 0.5, 0.75])
+    whole = quantiles_of(one, {f: quoted(f) for f in found}, [0.25, 0.75])
     out = []
-    for r in rows:
-        n, k = r["n"], r["k"]
-        mean = r["s"] * r["s"] / n
-        total = r["ss"] - mean
-        eta = (r["between"] - mean) / total if total > 0 else None
+    for feature, rows in found.items():
+        n, k = sum(r["n"] for r in rows), len(rows)
+        # sums about the means, so that large values don't cancel
+        mean = rows[0]["mean"] + sum(r["n"] * (r["mean"] - rows[0]["mean"]) for r in rows) / n
+        between = sum(r["n"] * (r["mean"] - mean) ** 2 for r in rows)
+        total = between + sum(r["n"] * r["var"] for r in rows)
+        eta = between / total if total > 0 else None
         h = p = eps = None
         if k > 1 and n > 1:
-            tie = 1 - r["ties"] / (n**3 - n)
+            tie = 1 - tied[feature] / (n**3 - n)
             if tie > 0:
-                h = (12 / (n * (n + 1)) * r["h"] - 3 * (n + 1)) / tie
+                h = (12 / (n * (n + 1)) * sum(r["r"] ** 2 / r["n"] for r in rows) - 3 * (n + 1)) / tie
                 p, eps = chi2_tail(h, k - 1), (h - k + 1) / (n - k) if n > k else None
-        medians, iqr = [c["median"] for c in r["classes"]], r["all"][1] - r["all"][0]
-        out.append((r["feature"], eta, eps, h, p, (max(medians) - min(medians)) / iqr if iqr else None, [(c["cls"], c["median"], c["iqr"]) for c in r["classes"]]))
+        classes = sorted((r["cls"], cuts[feature, r["cls"]][1], cuts[feature, r["cls"]][2] - cuts[feature, r["cls"]][0]) for r in rows)
+        medians, iqr = [m for _, m, _ in classes], whole[feature][1] - whole[feature][0]
+        out.append((feature, eta, eps, h, p, (max(medians) - min(medians)) / iqr if iqr else None, classes))
     out.sort(key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     schema = "feature string, eta_squared double, epsilon_squared double, h double, p_value double, median_range_iqr double, classes array<struct<cls:string,median:double,iqr:double>>"
     return df.sparkSession.createDataFrame(out, schema)

@@ -23,11 +23,7 @@ def plain(v):
     return None if isinstance(v, float) and math.isnan(v) else v
 
 
-#: Columns of exactly one row for each value hold no one-to-one candidates on the smallest tables.
-SMALL = {"bijective_features", "rare_label", "woe_encoder"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE) - SMALL))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_same_rows_as_sql(spark, db, name):
     df = catalog.QUERIES[name](spark, SF)
     said = db.execute(catalog.ORACLE[name])

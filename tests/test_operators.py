@@ -1,11 +1,12 @@
 """Golden values and contracts of the operators."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions import special, stats
-from tabloom.operators import clean, convert, encode, expand, impute, metrics, profile, report, sample, select
+from tabloom.operators import clean, convert, drift, encode, expand, impute, metrics, profile, report, sample, select
 
 
 def column(df, name, by="id"):
@@ -151,10 +152,50 @@ def test_quantiles_by_brackets_are_exact(spark):
     x = np.random.default_rng(0).normal(size=5000)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     probs = [0, 0.013, 0.25, 0.5, 0.999, 1]
-    assert stats.quantiles(df, ["x"], probs, exact_values=200)["x"] == pytest.approx(np.quantile(x, probs).tolist())
+    want = np.quantile(x, probs).tolist()
+    for accuracy in (20, 500):  # several rounds of brackets
+        assert stats.quantiles_of(df, {"x": F.col("x")}, probs, exact=50, held=100, accuracy=accuracy)["x"] == pytest.approx(want)
     assert stats.quantiles(df, ["x"], probs)["x"] == pytest.approx(np.quantile(x, probs).tolist())
 
 
+def test_quantiles_of_few_values_and_of_none(spark):
+    pdf = pd.DataFrame({"a": [0.0] * 700 + [1.0] * 300, "b": [2.0] * 1000, "c": [float(i % 7) for i in range(1000)]})
+    df, probs = spark.createDataFrame(pdf), [0, 0.1, 0.6999, 0.7, 0.9, 1]
+    got = stats.quantiles_of(df, {c: F.col(c) for c in pdf} | {"none": F.lit(None)}, probs, exact=10, held=40, accuracy=50)
+    assert got.pop("none") == [None] * 6
+    assert got == {c: pytest.approx(np.quantile(pdf[c], probs).tolist()) for c in pdf}
+
+
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v), int(n)) for k in "ab" for v, n in zip(rng.permutation(300) * 0.5, rng.integers(1, 9, 300), strict=True)]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    want = sorted((k, v, sum(n for j, w, n in rows if j == k and w < v)) for k, v, _ in rows)
+    for window_rows in (1000, 40):
+        assert sorted(tuple(r) for r in stats.running(df, ["k"], "v", ["n"], 300, window_rows).select("k", "v", "before_n").collect()) == want
+    alone = stats.running(df.where("k = 'a'"), [], "v", ["n"], 300, 40).select("k", "v", "before_n")
+    assert sorted(tuple(r) for r in alone.collect()) == [w for w in want if w[0] == "a"]
+
+
+def test_association_and_drift_do_not_cancel_on_large_means(spark):
+    rng = np.random.default_rng(5)
+    cls = rng.integers(0, 3, 400)
+    x = cls + rng.normal(size=400)
+    pdf = pd.DataFrame({"id": range(400), "y": cls.astype(str), "x": x, "far": x + 1e9})
+    df = spark.createDataFrame(pdf)
+    eta = {r.feature: r.eta_squared for r in profile.numerical_target_association(df, ["x", "far"], "y").collect()}
+    mean = x.mean()
+    between = sum((cls == c).sum() * (x[cls == c].mean() - mean) ** 2 for c in range(3))
+    assert eta["x"] == pytest.approx(between / ((x - mean) ** 2).sum()) and eta["far"] == pytest.approx(eta["x"], abs=1e-6)
+    w = {r.feature: r.wasserstein for r in drift.numerical_drift_analysis(df.where("y = '0'"), df.where("y = '1'"), ["x", "far"]).collect()}
+    assert w["far"] == pytest.approx(w["x"], abs=1e-5)
+
+
+def test_metric_names():
+    for name in ("F1 (Micro)", "Recall (Macro)", "Precision (Weighted)", "Roc AUC (Multi-class)", "RMSPE"):
+        assert metrics.get_metric_direction(name) in ("maximize", "minimize")
+
+
 def test_tails():
     assert special.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05) and special.chi2_tail(18.307038, 10) == pytest.approx(0.05, rel=1e-6)
     assert special.chi2_tail(0, 3) == 1 and special.gamma_tail(2, 50) < 1e-19
