@@ -104,7 +104,10 @@ class Lookup:
         self.kinds = {c: table.schema[c].dataType for c in self.names}
         self.table = table.persist()
         self.rows = self.table.count()
-        self.entries = {r[key]: tuple(r[c] for c in self.names) for r in self.table.collect()} if self.rows <= LITERAL_ENTRIES else None
+        self.entries = None
+        if self.rows <= LITERAL_ENTRIES:  # held by the plan; its table isn't read again
+            self.entries = {r[key]: tuple(r[c] for c in self.names) for r in self.table.collect()}
+            self.table.unpersist()
 
     def column(self, of: Column, name: str) -> Column:
         """The value as an expression, for a lookup that is small."""

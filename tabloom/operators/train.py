@@ -125,6 +125,7 @@ class CrossValidationTrainer:
         for f in found[1:]:
             self.oof_ = self.oof_.unionByName(f[4])
         self.oof_ = self.oof_.drop("_fold")
+        rows.unpersist()
         return [f[2] for f in found], [f[3] for f in found], None if test is None else self.predict(test)
 
     def _each(self, df: DataFrame, column: str) -> tuple[DataFrame, list[str]]:

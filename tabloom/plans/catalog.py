@@ -5,15 +5,18 @@ Doubles are rounded on both sides, since sums depend on their order."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import number
 from ..operators import clean, convert, drift, encode, expand, impute, metrics, profile, report, sample, select, shap, train, tune
 from ..sources.tables import load
+from ..streaming import apply
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -325,16 +328,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table_of(spark, [(c,) for c in clean.duplicate_columns(o, "o_orderkey")], "removed string")
 
 
-@query("initial_removal")
+@query(
+    "initial_removal",
+    "SELECT 'constant' AS reason, 'one' AS feature FROM orders HAVING count(DISTINCT 1) = 1 UNION ALL SELECT 'empty', 'none' FROM orders HAVING count(NULL) = 0 "
+    "UNION ALL SELECT 'bijective', 'copy' FROM orders HAVING count(DISTINCT (o_orderpriority, lower(o_orderpriority))) = count(DISTINCT o_orderpriority)",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lower("o_orderpriority").alias("copy"), F.lit(1).alias("one"), F.lit(None).cast("string").alias("none"))
     return table_of(spark, [(k, c) for k, cs in clean.initial_features_removal(o, "o_orderkey")[1].items() for c in cs], "reason string, feature string")
 
 
-@query("missing_groups")
+@query(
+    "missing_groups",
+    "WITH m AS (SELECT unnest(['a', 'b', 'c']) AS feature, unnest([avg((o_orderkey % 7 = 0)::INT), avg((o_orderkey % 20 = 0)::INT), 0.0]) AS share FROM orders) "
+    "SELECT 'low_missing' AS kind, feature FROM m WHERE share > 0 AND share <= 0.1 UNION ALL SELECT 'high_missing', feature FROM m WHERE share > 0.1 "
+    "UNION ALL SELECT 'any_missing', feature FROM m WHERE share > 0 UNION ALL SELECT 'no_missing', feature FROM m WHERE share = 0",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("a"), F.when(F.col("o_orderkey") % 20 != 0, F.col("o_orderpriority")).alias("b"))
-    return table_of(spark, [(k, c) for k, cs in clean.categorize_categorical_features_by_missing(o, ["a", "b"]).items() for c in cs], "kind string, feature string")
+    o = load(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("a"), F.when(F.col("o_orderkey") % 20 != 0, F.col("o_orderpriority")).alias("b"), F.col("o_orderstatus").alias("c"))
+    return table_of(spark, [(k, c) for k, cs in clean.categorize_categorical_features_by_missing(o, ["a", "b", "c"]).items() for c in cs], "kind string, feature string")
 
 
 @query("encode_target", "SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::INT AS o_orderstatus FROM orders")
@@ -541,21 +553,32 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- sampling ----
 
-_SIZES = "SELECT o_orderstatus, (SELECT {f}(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus))::BIGINT AS n FROM orders GROUP BY 1"
+_SIZES = "WITH c AS (SELECT o_orderstatus, count(*) AS k, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1), e AS (SELECT *, max(k) OVER () AS top, min(k) OVER () AS low FROM c) "
 
 
-def _balance(name: str, strategy: str, f: str | None) -> None:
+def _balance(name: str, strategy: str, sql: str) -> None:
+    """Per class: its rows, how many are rows of the table, distinct ids, the fewest and the most copies of a table's
+    row, and whether all totals lie in the range of the class."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
         o = load(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-        return sample.FoldwiseSampler("o_orderstatus", "o_orderkey", strategy).fit_transform(o).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+        out = sample.FoldwiseSampler("o_orderstatus", "o_orderkey", strategy).fit_transform(o)
+        each = out.groupBy("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority").agg(F.count("*").alias("n"))
+        ends = o.groupBy("o_orderstatus").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+        met = each.join(o.withColumn("own", F.lit(1)), o.columns, "left").join(ends, "o_orderstatus")
+        own = F.col("own").isNotNull()
+        return met.groupBy("o_orderstatus").agg(
+            F.sum("n").alias("n"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("n_own"), F.count_distinct("o_orderkey").alias("n_ids"),
+            F.min(F.when(own, F.col("n"))).alias("fewest"), F.max(F.when(own, F.col("n"))).alias("most"), F.bool_and(F.col("o_totalprice").between(F.col("lo"), F.col("hi"))).alias("inside"),
+        )
 
-    query(name, _SIZES.format(f=f) if f else "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")(run)
+    query(name, _SIZES + sql)(run)
 
 
-_balance("random_under", "random_under", "min")
-_balance("random_over", "random_over", "max")
-_balance("sampler_none", "none", None)
-_balance("smote", "smote", "max")
+_balance("random_under", "random_under", "SELECT o_orderstatus, low AS n, low AS n_own, low AS n_ids, 1 AS fewest, 1 AS most, true AS inside FROM e")
+_balance("random_over", "random_over", "SELECT o_orderstatus, top AS n, top AS n_own, k AS n_ids, (top // k)::BIGINT AS fewest, ((top + k - 1) // k)::BIGINT AS most, true AS inside FROM e")
+_balance("sampler_none", "none", "SELECT o_orderstatus, k AS n, k AS n_own, k AS n_ids, 1 AS fewest, 1 AS most, true AS inside FROM e")
+_balance("smote", "smote", "SELECT o_orderstatus, top AS n, k AS n_own, top AS n_ids, 1 AS fewest, 1 AS most, true AS inside FROM e")
 
 # ---- metrics and reports ----
 
@@ -772,3 +795,247 @@ _elimination("model_importance_filtering", lambda f: select.ModelImportanceFilte
 _elimination("permutation_rfe", lambda f: select.PermutationRecursiveFeatureElimination(_LR(), _cv(f), 2, 1))
 _elimination("shap_rfe", lambda f: select.ShapRecursiveFeatureElimination(_RF(), _cv(f), 2))
 
+
+
+# ---- results of fitted operators that SQL can tell ----
+
+
+@query("literal_table", "SELECT * FROM (VALUES (1, 'a', 0.5::DOUBLE), (2, NULL, 1.5::DOUBLE)) AS t(id, name, x)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table_of(spark, [(1, "a", 0.5), (2, None, 1.5)], "id int, name string, x double")
+
+
+@query(
+    "fill_values",
+    "SELECT 'o_orderpriority' AS feature, (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS fill UNION ALL SELECT 'o_orderstatus', 'X'",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    fills = convert.CategoricalAligner.create_fill_values(load(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], {"o_orderstatus": "X"}, "mode")
+    return table_of(spark, list(fills.items()), "feature string, fill string")
+
+
+@query(
+    "text_columns",
+    " UNION ALL ".join(f"SELECT '{c}' AS feature FROM {t} HAVING count(DISTINCT {c}) < 100" for t, c in (("customer", "c_name"), ("customer", "c_mktsegment"))),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    names = profile.get_categorical_features(load(spark, d, "customer"), any_binary=False)
+    return table_of(spark, [(n,) for n in names], "feature string")
+
+
+@query(
+    "target_encoding_stats",
+    "WITH g AS (SELECT avg(o_totalprice) AS g FROM orders) SELECT o_orderpriority AS feature, 'mean' AS aggregation, count(*) AS count, round((sum(o_totalprice) + 10 * any_value(g)) / (count(*) + 10), 0) AS te_value FROM orders, g GROUP BY 1",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    fitted = encode.TargetEncodingFeatureGenerator(["o_orderpriority"], "o_totalprice", id_col="o_orderkey").fit(o)
+    return rounded(fitted.get_feature_stats("o_orderpriority"), 0)
+
+
+def _powers(name: str, cls: str, table: str, column: str, form: str, slope: str) -> None:
+    """The power of greatest likelihood, to two places, and the transformed values' mean and deviation there."""
+    sql = (
+        f"WITH g AS (SELECT i / 100.0 AS p FROM range(-300, 301) AS t(i)), s AS (SELECT p, var_pop({form}) AS v, sum({slope}) AS l, count(*) AS n FROM (SELECT {column} AS x FROM {table}), g GROUP BY p) "
+        "SELECT round(arg_max(p, -n / 2 * ln(nullif(v, 0)) + (p - 1) * l), 2)::DOUBLE AS power FROM s"
+    )
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        fitted = getattr(expand, cls)([column]).fit(load(spark, d, table).select(column))
+        return table_of(spark, [(round(fitted.lambdas_[column], 2) + 0.0,)], "power double")
+
+    query(name, sql)(run)
+
+
+_powers("box_cox_power", "BoxCoxTransformer", "orders", "o_totalprice", "CASE WHEN p = 0 THEN ln(x) ELSE (power(x, p) - 1) / p END", "ln(x)")
+_powers(
+    "yeo_johnson_power", "YeoJohnsonTransformer", "customer", "c_acctbal",
+    "CASE WHEN x >= 0 AND p = 0 THEN ln(x + 1) WHEN x >= 0 THEN (power(x + 1, p) - 1) / p WHEN p = 2 THEN -ln(1 - x) ELSE -(power(1 - x, 2 - p) - 1) / (2 - p) END", "sign(x) * ln(abs(x) + 1)",
+)
+
+#: The best single cut of rows (k: group, y) with groups in the order of column o; side is 0 up to the cut, 1 after it.
+_STUMP = (
+    "g AS (SELECT k, {o} AS o, sum(y) AS s, count(*) AS n FROM x GROUP BY k), r AS (SELECT *, sum(s) OVER w AS cs, sum(n) OVER w AS cn, sum(s) OVER () AS ts, sum(n) OVER () AS tn, row_number() OVER w AS i FROM g WINDOW w AS (ORDER BY o, k)), "
+    "b AS (SELECT i AS cut FROM r WHERE cn < tn ORDER BY cs * cs / cn + (ts - cs) * (ts - cs) / (tn - cn) DESC, i LIMIT 1), side AS (SELECT k, (i > cut)::INT AS side, sum(s) OVER p / sum(n) OVER p AS leaf, ts / tn AS mean FROM r, b WINDOW p AS (PARTITION BY i > cut))"
+)
+
+
+@query("tree_encoder_stump", f"WITH x AS (SELECT o_orderkey, o_orderpriority AS k, o_totalprice AS y FROM orders), {_STUMP.format(o='avg(y)')} SELECT o_orderkey, round(leaf, 2) AS guess FROM x JOIN side USING (k)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    out = expand.DecisionTreeEncoder("o_totalprice", ["o_orderpriority"], depths=(1,)).fit_transform(o)
+    return rounded(out.select("o_orderkey", F.col("o_orderpriority").alias("guess")), 2)
+
+
+_LINES = "SELECT l_discount AS k, l_extendedprice * (1 + l_discount) AS y FROM lineitem"
+
+
+@query("tree_discretiser_stump", f"WITH x AS ({_LINES}), {_STUMP.format(o='k')} SELECT k AS l_discount, side AS bin, count(*) AS n FROM x JOIN side USING (k) GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "lineitem").select("l_discount", F.col("l_discount").alias("x"), (F.col("l_extendedprice") * (1 + F.col("l_discount"))).alias("y"))
+    out = expand.DecisionTreeDiscretiser("y", ["x"], "bin_number", depths=(1,)).fit_transform(rows)
+    return out.groupBy("l_discount", F.col("x").cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("shap_stump", f"WITH x AS ({_LINES}), {_STUMP.format(o='k')} SELECT k AS l_discount, round(leaf - mean, 2) AS shap, round(mean, 2) AS base FROM side")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "lineitem").select("l_discount", (F.col("l_extendedprice") * (1 + F.col("l_discount"))).alias("y"))
+    model = train.BaseTrainer("regression", "y", ["l_discount"]).fit_estimator(DecisionTreeRegressor(maxDepth=1), rows)
+    out = shap.compute_shap_values(model, rows.select("l_discount").distinct(), ["l_discount"])
+    return rounded(out.select("l_discount", F.col("shap")[0].alias("shap"), F.col("shap_base")[0].alias("base")), 2)
+
+
+#: Straight lines fitted on the rows outside each of three folds.
+_LINEAR = (
+    "x AS (SELECT o_orderkey AS id, o_custkey::DOUBLE AS x, o_totalprice AS y, (o_orderkey % 3)::INT AS f FROM orders), "
+    "m AS (SELECT k, regr_slope(y, x) AS a, regr_intercept(y, x) AS c, sum(x * y) / sum(x * x) AS z FROM x, (VALUES (0), (1), (2)) AS t(k) WHERE f <> k GROUP BY k)"
+)
+
+
+def _linear(spark: SparkSession, d: str) -> tuple[DataFrame, train.CrossValidationTrainer]:
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+    return rows, train.CrossValidationTrainer("regression", "RMSE", "y", ["x"], "id", 3, fold=(F.col("id") % 3).cast("int"))
+
+
+_OLS = lambda intercept=True: LinearRegression(solver="normal", fitIntercept=intercept)
+
+
+@query(
+    "cross_validation_scores",
+    f"WITH {_LINEAR} SELECT k AS fold, round(sqrt(avg(CASE WHEN f <> k THEN power(y - a * x - c, 2) END)), 2) AS train, round(sqrt(avg(CASE WHEN f = k THEN power(y - a * x - c, 2) END)), 2) AS valid FROM x, m GROUP BY k",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, cv = _linear(spark, d)
+    a, b, _t = cv.fit(_OLS(), rows)
+    return rounded(table_of(spark, [(i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))], "fold int, train double, valid double"), 2)
+
+
+@query("out_of_fold_predictions", f"WITH {_LINEAR} SELECT id, round(a * x + c, 0) AS prediction FROM x JOIN m ON f = k")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, cv = _linear(spark, d)
+    cv.fit(_OLS(), rows)
+    return rounded(cv.oof_.select("id", "prediction"), 0)
+
+
+@query(
+    "fold_models_with_confidence",
+    f"WITH {_LINEAR} SELECT id, round(avg(a * x + c), 0) AS prediction, round(stddev_pop(a * x + c), 0) AS std, round(avg(a * x + c) - 1.96 * stddev_pop(a * x + c), 0) AS lower FROM x, m GROUP BY id",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, cv = _linear(spark, d)
+    model = train.OOFModel(_OLS(), cv).fit(rows)
+    means = model.predict(rows).select("id", F.col("prediction").alias("mean"))
+    out = cv.predict_with_confidence(rows).join(means, "id")
+    return rounded(out.select("id", F.col("mean").alias("prediction"), "std", "lower"), 0)
+
+
+@query("ensemble_of_lines", "WITH m AS (SELECT regr_slope(o_totalprice, o_custkey) AS a, regr_intercept(o_totalprice, o_custkey) AS c, sum(o_totalprice * o_custkey) / sum(o_custkey::DOUBLE * o_custkey) AS z FROM orders) SELECT o_orderkey AS id, round((2 * (a * o_custkey + c) + z * o_custkey) / 3, 0) AS prediction FROM orders, m")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, _cv_ = _linear(spark, d)
+    return rounded(train.EnsembleModel([_OLS(), _OLS(False)], "regression", "y", ["x"], [2, 1]).fit(rows).predict(rows).select("id", "prediction"), 0)
+
+
+@query(
+    "search_of_lines",
+    f"WITH {_LINEAR}, e AS (SELECT k, sqrt(avg(power(y - a * x - c, 2))) AS with_c, sqrt(avg(power(y - z * x, 2))) AS without FROM x JOIN m ON f = k GROUP BY k) SELECT avg(with_c) < avg(without) AS intercept, round(least(avg(with_c), avg(without)), 2) AS score FROM e",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows, cv = _linear(spark, d)
+    best, score = tune.RandomSearchCV(cv, 6, max_samples=1 << 62).tune(LinearRegression(solver="normal"), rows, {"fitIntercept": ("categorical", [True, False])})
+    return rounded(table_of(spark, [(best["fitIntercept"], score)], "intercept boolean, score double"), 2)
+
+
+@query(
+    "mutual_information_filter",
+    "WITH x AS (SELECT o_orderstatus AS y, o_orderpriority AS a, (o_orderkey % 4)::VARCHAR AS b, CASE WHEN o_orderstatus = 'F' THEN 'f' ELSE (o_orderkey % 2)::VARCHAR END AS c FROM orders), l AS (UNPIVOT x ON a, b, c INTO NAME f VALUE v), "
+    "n AS (SELECT f, v, y, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT f, n / sum(n) OVER (PARTITION BY f) AS p, sum(n) OVER (PARTITION BY f, v) / sum(n) OVER (PARTITION BY f) AS pv, sum(n) OVER (PARTITION BY f, y) / sum(n) OVER (PARTITION BY f) AS py FROM n), "
+    "s AS (SELECT f AS feature, sum(p * ln(p / (pv * py))) AS score FROM p GROUP BY f) SELECT feature, round(score, 6) AS score, rank() OVER (ORDER BY score DESC) = 1 AS selected FROM s",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders")
+    c = F.when(F.col("o_orderstatus") == "F", "f").otherwise((F.col("o_orderkey") % 2).cast("string"))
+    rows = o.select(F.col("o_orderstatus").alias("y"), F.col("o_orderpriority").alias("a"), (F.col("o_orderkey") % 4).cast("string").alias("b"), c.alias("c"))
+    found = select.MutualInformationFiltering("y", keep_top_k=1, features=["a", "b", "c"]).fit(rows)
+    return rounded(table_of(spark, [(f, x, f in found.selected_) for f, x in found.scores_.items()], "feature string, score double, selected boolean"))
+
+
+@query("removal_schedule", "SELECT i AS step, round(100 * (1 - 0.2 * i) / 3)::INT AS n FROM range(0, 5) AS t(i)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table_of(spark, list(enumerate(select.compute_removal_schedule(100, 5))), "step long, n int")
+
+
+@query("calibration_curve", f"WITH x AS ({_LABELS}) SELECT len(list_filter(range(1, 10), lambda i: p >= i / 10))::INT AS bin, count(*) AS n, round(avg(p), 6) AS confidence, round(avg(y), 6) AS share FROM x GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.ece_bins(_labels(spark, d), "y", "p").select("bin", "n", "confidence", "share"))
+
+
+@query(
+    "auto_thresholds",
+    f"WITH x AS ({_LABELS}), l AS (SELECT doc_id, y, k, CASE WHEN k = 1 THEN p ELSE 1 - p END AS q, greatest(p, 1 - p) AS top, (p > 0.5)::INT AS pred FROM x, (VALUES (0), (1)) AS t(k)) "
+    "SELECT k::INT AS cls, round(least(CASE WHEN count(*) FILTER (doc_id % 2 = 0 AND y = k) >= 10 THEN quantile_cont(q, 0.8) FILTER (doc_id % 2 = 0 AND y = k) ELSE quantile_cont(q, 0.8) FILTER (doc_id % 2 = 0) END, quantile_cont(top, 0.8) FILTER (doc_id % 2 = 1 AND pred = k), 0.999999), 6) AS threshold FROM l GROUP BY k",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    x = _labels(spark, d).select("doc_id", "y", F.col("prob").alias("probability"))
+    return rounded(tune.auto_thresholds(x.where("doc_id % 2 = 0"), "y", x.where("doc_id % 2 = 1"), 80.0))
+
+
+#: Three classes, a prediction that is wrong for every fifth row, and scores of each class.
+_THREE = (
+    "x AS (SELECT o_orderkey, (o_orderkey % 3)::INT AS y, (CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey + 1) % 3 ELSE o_orderkey % 3 END)::INT AS pred, "
+    "[1.0 + o_orderkey % 7, 1.0 + o_orderkey % 5, 1.0 + o_custkey % 4] AS w FROM orders), "
+    "z AS (SELECT y, pred, k, w[k + 1] / list_sum(w) AS p FROM x, (VALUES (0), (1), (2)) AS t(k)), "
+    "c AS (SELECT k, count(*) FILTER (y = k AND pred = k) AS tp, count(*) FILTER (y <> k AND pred = k) AS fp, count(*) FILTER (y = k AND pred <> k) AS fn FROM z GROUP BY k), "
+    "r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY p) + (count(*) OVER (PARTITION BY k, p) - 1) / 2.0 AS rk FROM z), "
+    "a AS (SELECT k, (sum(CASE WHEN y = k THEN rk END) - sum((y = k)::INT) * (sum((y = k)::INT) + 1) / 2.0) / (sum((y = k)::INT) * sum((y <> k)::INT)) AS auc FROM r GROUP BY k)"
+)
+_CLASS_VALUES = {
+    "F1 (Micro)": ("sum(tp) / sum(tp + fn)", "c"), "F1 (Macro)": ("avg(2.0 * tp / (2 * tp + fp + fn))", "c"), "F1 (Weighted)": ("sum(2.0 * tp / (2 * tp + fp + fn) * (tp + fn)) / sum(tp + fn)", "c"),
+    "Recall (Micro)": ("sum(tp) / sum(tp + fn)", "c"), "Recall (Macro)": ("avg(tp / (tp + fn))", "c"), "Recall (Weighted)": ("sum(tp / (tp + fn) * (tp + fn)) / sum(tp + fn)", "c"),
+    "Precision (Micro)": ("sum(tp) / sum(tp + fp)", "c"), "Precision (Macro)": ("avg(tp / (tp + fp))", "c"), "Precision (Weighted)": ("sum(tp / (tp + fp) * (tp + fn)) / sum(tp + fn)", "c"),
+    "Balanced Accuracy": ("avg(tp / (tp + fn))", "c"), "Roc AUC (Multi-class)": ("avg(auc)", "a"), "Log Loss": ("avg(-ln(p)) FILTER (y = k)", "z"), "Brier Score": ("avg(power(p - (y = k)::INT, 2))", "z"),
+    "Share of misses": ("sum(fn) / sum(tp + fn)", "c"),
+}
+
+
+@query("multiclass_metrics", f"WITH {_THREE} " + " UNION ALL ".join(f"SELECT '{n}' AS metric, round({e}, 6)::DOUBLE AS value FROM {t}" for n, (e, t) in _CLASS_VALUES.items()))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    w = [1.0 + k % 7, 1.0 + k % 5, 1.0 + F.col("o_custkey") % 4]
+    x = load(spark, d, "orders").select((k % 3).cast("int").alias("y"), F.when(k % 5 == 0, (k + 1) % 3).otherwise(k % 3).cast("int").alias("pred"), F.array(*[v / (w[0] + w[1] + w[2]) for v in w]).alias("prob")).persist()
+    own = {"name": "Share of misses", "function": lambda df, y, p, scale: df.agg(F.avg((F.col(y) != F.col(p)).cast("double")) * scale).first()[0], "metric_type": "preds", "direction": "minimize", "kwargs": {"scale": 1.0}}
+    rows = []
+    for name in _CLASS_VALUES:
+        _n, metric, kind, _d = metrics.CustomMetricsHandler.extract_metric_details(own if name == own["name"] else None, name)
+        rows.append((name, float(metric(x, "y", "prob" if kind == "probs" else "pred"))))
+    x.unpersist()
+    return rounded(table_of(spark, rows, "metric string, value double"))
+
+
+_NUMBER_VALUES = {
+    "MAE": ("avg(abs(y - p))", 2), "MAPE": ("avg(abs(y - p) / abs(y))", 6), "MSE": ("avg(power(y - p, 2))", 0), "RMSE": ("sqrt(avg(power(y - p, 2)))", 2), "R2": ("1 - sum(power(y - p, 2)) / (var_pop(y) * count(*))", 6),
+    "RMSLE": ("sqrt(avg(power(ln(1 + y) - ln(1 + p), 2)))", 6), "RMSPE": ("sqrt(avg(power((y - p) / y, 2)))", 6),
+}
+
+
+@query("regression_metrics", "WITH x AS (SELECT o_totalprice AS y, o_totalprice * 0.9 + 10 * (o_orderkey % 7) AS p FROM orders) " + " UNION ALL ".join(f"SELECT '{n}' AS metric, round({e}, {k})::DOUBLE AS value FROM x" for n, (e, k) in _NUMBER_VALUES.items()))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    x = load(spark, d, "orders").select(F.col("o_totalprice").alias("y"), (F.col("o_totalprice") * 0.9 + 10 * (F.col("o_orderkey") % 7)).alias("p"))
+    each = [table_of(spark, [(n, float(metrics.get_metric_function(n)(x, "y", "p")))], "metric string, value double").select("metric", F.round("value", k).alias("value")) for n, (_e, k) in _NUMBER_VALUES.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("under_errors", "SELECT o_orderkey, round(o_totalprice * 0.1 - o_orderkey % 7 * 20000, 4) AS error FROM orders WHERE o_totalprice * 0.1 - o_orderkey % 7 * 20000 < 0 ORDER BY 2, 1 LIMIT 15")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") * 0.9 + F.col("o_orderkey") % 7 * 20000).alias("p"))
+    return rounded(report.get_top_regression_under_over_errors(o, "o_totalprice", "p")[1].select("o_orderkey", "error"), 4)
+
+
+@query("streaming_case", "SELECT o_orderkey, lower(o_orderpriority) AS o_orderpriority FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All files of the folder that hold orders, as a stream through a fitted operator."""
+    like = load(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    fitted = convert.CaseNormalizer(["o_orderpriority"], "lower").fit(like)
+    stream = apply.stream_table(spark, f"{d}/order*.parquet", like)
+    name = f"stream_{uuid4().hex}"
+    fitted.transform(stream).writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
