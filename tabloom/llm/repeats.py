@@ -33,7 +33,7 @@ LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes before an anchor that a string with it may begin
 #: Bytes of texts that one step looks at, and of one slice of a very long text; characters that are sorted together.
 BLOCK, SLICE, SORTED = 2 << 20, 4 << 20, 1 << 20
-#: Kinds of surroundings of one anchor from which its strings are dealt one by one.
+#: Kinds of surroundings of one anchor from which its strings are dealt to the sort one by one, by their own hash.
 MANY = 5000
 NULL = np.iinfo(np.int64).max
 TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
@@ -45,7 +45,7 @@ AROUND = [("anchor", "u8"), ("doc", "i8"), ("text", "i8"), ("start", "i4"), ("si
 RANGE = [("doc", "i8"), ("text", "i8"), ("start", "i4"), ("stop", "i4")]
 REST = [("anchor", "u8"), ("doc", "i8"), ("text", "i8"), ("at", "i4"), ("low", "u1"), ("high", "u1"), ("many", "u1")]
 ROW = "bucket int, kind int, n int, data binary"
-FIRST, AGAIN, WINDOW = 0, 1, 2  # kinds of packed rows
+FIRST, AGAIN = 0, 1  # kinds of packed rows
 
 
 def pack(columns: dict, fields: list) -> bytes:
@@ -301,8 +301,9 @@ class _ByText:
 
 
 def _surroundings(beside: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows with the strings of each remaining anchor: neighbouring starts in one piece of text, by anchor; for
-    an anchor of very many kinds one string after the other, as occurrences by the hash of the string."""
+    """Packed rows with the strings of each remaining anchor: neighbouring starts in one piece of text, by anchor. The
+    strings of an anchor of very many kinds, which no task could hold, are pieces of their own, by a hash of the string;
+    equal ones in a block go once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, texts = _apart(batches)
@@ -310,7 +311,7 @@ def _surroundings(beside: DataFrame, buckets: int) -> DataFrame:
         del packed
         for block, ids, keys in _texts(iter(texts)):
             rows, pieces = {name: [] for name, _ in AROUND}, []
-            lone, where = [], []
+            lone, code = {name: [] for name, _ in SEEN}, {}
             done = set()
             for text, doc, key in zip(block, ids.tolist(), keys.tolist(), strict=True):
                 if (doc, key) in done:
@@ -321,29 +322,33 @@ def _surroundings(beside: DataFrame, buckets: int) -> DataFrame:
                 for anchor, a, b, many in zip(own["anchor"].tolist(), first.tolist(), last.tolist(), own["many"].tolist(), strict=True):
                     if many:
                         for s in range(a, b - LENGTH + 1):
-                            lone.append(hashlib.blake2b(text[s : s + LENGTH], digest_size=16).digest())
-                            where.append((doc, key, s))
+                            string = text[s : s + LENGTH]
+                            if string not in code:
+                                code[string] = (len(code), int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little"))
+                            for name, value in zip(lone, (code[string][1], code[string][0], 0, doc, key, s, 0, 0, 0, LENGTH), strict=True):
+                                lone[name].append(value)
                     else:
                         pieces.append(text[a:b])
                         for name, value in zip(rows, (anchor, doc, key, a, b - a), strict=True):
                             rows[name].append(value)
+            out = []
+            if code:
+                strings = list(code)
+                seen, first = firsts({name: np.array(lone[name], dtype) for name, dtype in SEEN})
+                again = _again(take(seen, ~first))
+                out += _deal(again, RANGE, again["doc"], buckets, AGAIN)
+                kept = take(seen, first)
+                for anchor, which, doc, key, s in zip(*(kept[c].tolist() for c in ("anchor", "around", "doc", "text", "at")), strict=True):
+                    pieces.append(strings[which])
+                    for name, value in zip(rows, (anchor, doc, key, s, LENGTH), strict=True):
+                        rows[name].append(value)
             columns = {name: np.array(rows[name], dtype) for name, dtype in AROUND}
             bucket = (mix(columns["anchor"]) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[b] : cuts[b + 1]]
                 out.append((b, FIRST, len(at), pack(take(columns, at), AROUND) + b"".join([pieces[i] for i in at.tolist()])))
-            if lone:
-                name = np.frombuffer(b"".join(lone), U64).reshape(-1, 2)
-                doc, key, start = (np.array(c, np.int64) for c in zip(*where, strict=True))
-                zero = np.zeros(len(doc), np.int64)
-                seen = {"anchor": name[:, 0], "around": name[:, 0], "check": name[:, 1], "doc": doc, "text": key, "at": start, "low": zero, "high": zero, "left": zero, "right": zero + LENGTH}
-                seen, first = firsts(seen)
-                out += _deal(take(seen, first), SEEN, seen["anchor"][first], buckets, WINDOW)
-                again = _again(take(seen, ~first))
-                out += _deal(again, RANGE, again["doc"], buckets, AGAIN)
             yield _batch(out)
 
     return beside.mapInArrow(tidied(run), ROW)
@@ -417,9 +422,7 @@ def _repeated(surroundings: DataFrame, buckets: int) -> DataFrame:
         around = _rows(packed, FIRST)
         rows = unpack([(n, data[: n * width]) for n, data in around], AROUND)
         pieces = np.frombuffer(b"".join([data[n * width :] for n, data in around]), np.uint8)
-        seen, first = firsts(unpack(_rows(packed, WINDOW), SEEN))
-        found.append(_again(take(seen, ~first)))
-        del packed, around, seen
+        del packed, around
         for part in _sorted_groups(rows, pieces):
             found.append(_merged(part))
         every = _merged({name: np.concatenate([f[name] for f in found]).astype(np.int64) for name, _ in RANGE})
