@@ -110,12 +110,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", owner: str = "source",
     added where its value is no copied example; base spans always stay. live_spans has start and stop of live findings, owned
     start, stop, n_owners and n_repositories of all.
     A null text is empty; a null owner counts for no owner; repeated rows are scanned each and count as one repository;
-    other columns are ignored; an empty table gives no row. Only findings are shuffled, never texts; a hash that many
-    rows share meets its counts in a join whose large partitions Spark may split.
+    other columns are ignored; an empty table gives no row. Only findings are shuffled, never texts; the table of
+    counts, a row for each distinct value, is broadcast while it is small, and beyond that a hash that many rows share
+    meets its counts in a join whose large partitions Spark may split.
     """
     names = list(dict.fromkeys([id_col, owner, *extra]))
     found = written(find(docs, names, text).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    owners = ownership(found, id_col, owner)
+    owners = counted(written(ownership(found, id_col, owner), "owners"))
     each = found.select("row", F.explode("findings").alias("f")).select("row", "f", F.col("f.hash").alias("hash"))
     judged = each.join(owners, "hash").withColumn("example", (F.col("n_owners") >= wide) | (F.col("n_repositories") >= WIDE_REPOSITORIES))
     per_row = judged.groupBy("row").agg(
