@@ -94,6 +94,15 @@ def mean_arrays(arrays: Sequence[Column]) -> Column:
     return F.transform(total, lambda x: x / len(arrays))
 
 
+def blended(arrays: Sequence[Column], weights: Sequence[float]) -> Column:
+    """The weighted sum of arrays, place by place."""
+    scaled = lambda a, w: F.transform(a, lambda p: p * F.lit(float(w)))
+    total = scaled(arrays[0], weights[0])
+    for a, w in zip(arrays[1:], weights[1:], strict=True):
+        total = F.zip_with(total, scaled(a, w), lambda x, y: x + y)
+    return total
+
+
 class CrossValidationTrainer:
     """Fits the estimator once for each fold on the others; a preprocessing pipeline, if given, is fitted there too."""
 
@@ -330,11 +339,7 @@ class EnsembleModel:
             meta, names = self._meta(df)
             return self.meta_.predict(self.meta_model_, meta).drop(*names)
         out, each = self._outputs(df)
-        scaled = [F.transform(F.col(c), lambda p, w=w: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) * w) for c, w in zip(each, self.weights, strict=True)]
-        total = scaled[0]
-        for s in scaled[1:]:
-            total = F.zip_with(total, s, lambda a, b: a + b)
-        out = out.withColumn("_t", total)
+        out = out.withColumn("_t", blended([F.transform(F.col(c), lambda p: F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))) for c in each], self.weights))
         norm = F.transform("_t", lambda p: p / F.aggregate("_t", F.lit(0.0), lambda s, x: s + x))
         return out.withColumn("probability", norm).withColumn("prediction", argmax(F.col("probability"))).drop("_t", *each)
 
@@ -365,11 +370,7 @@ class EnsembleModel:
 
     def _with_outputs(self, df: DataFrame) -> DataFrame:
         out, each = self._outputs(df)
-        scaled = [F.transform(F.col(c), lambda p, w=w: p * w) for c, w in zip(each, self.weights, strict=True)]
-        total = scaled[0]
-        for s in scaled[1:]:
-            total = F.zip_with(total, s, lambda a, b: a + b)
-        return out.withColumn("probability", total).withColumn("prediction", argmax(F.col("probability")))
+        return out.withColumn("probability", blended([F.col(c) for c in each], self.weights)).withColumn("prediction", argmax(F.col("probability")))
 
     @property
     def feature_importances_(self) -> dict[str, float]:
