@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -71,9 +72,12 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs; it acts when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of finished jobs. It acts when the driver's garbage is collected: once
+    for what Python and the last job's events hold on to, and again when these are gone."""
+    for pause in (0.5, 0.1):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 #: Bytes of one Arrow batch between the JVM and Python.
