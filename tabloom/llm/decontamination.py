@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise, repeat
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -16,21 +16,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import boxed, counted, discard, small_batches, tidied, words, written
+from .shared import U64, boxed, counted, discard, small_batches, tidied, written
+from .shingles import word_hashes
 
 #: Words of a window; words of one segment of the index; characters of benchmark text that one broadcast holds.
 WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 20, 8 << 20
 #: Words from a window's rarest term within which a proximity match has all others; postings that one step follows.
 SLOP, STEP = 20, 1 << 20
+#: Characters of the texts that are hashed at a time.
+TEXT_CHARS = 1 << 20
 CELLS = ("bounds", "terms", "counts", "places")
 
 
+#: A term is the 64-bit hash of a word; this one is no term.
+NO_TERM = U64(0)
+
+
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of texts, one after the other, and the number of each."""
+    terms, counts = word_hashes(texts)
+    return np.where(terms == NO_TERM, U64(1), terms), counts
+
+
 @dataclass
 class Phrases:
-    """Distinct windows over numbered terms: `terms` has a row per window, filled up with -1, `sizes` its length;
-    window w belongs to the items owners[first[w]:first[w + 1]]."""
+    """Distinct windows: `terms` has a row per window, filled up with NO_TERM, `sizes` its length; window w belongs to the
+    items owners[first[w]:first[w + 1]]."""
 
-    vocabulary: dict[bytes, int]
     terms: np.ndarray
     sizes: np.ndarray
     owners: np.ndarray
@@ -43,80 +55,73 @@ class Phrases:
         return sorted(self.items[o] for o in owners)
 
 
-def phrases(items: list[tuple[str, str | None]], vocabulary: dict[bytes, int], window: int = WINDOW) -> Phrases:
+def phrases(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
     names = sorted({name for name, _ in items})
     number = {name: i for i, name in enumerate(names)}
-    rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+    rows, owner = [np.zeros((0, window), U64)], [np.zeros(0, np.int64)]
     for name, text in items:
-        ids = np.array([vocabulary[w] for w in words(text)], np.int32)
-        if len(ids):
-            short = np.append(ids, np.full(max(0, window - len(ids)), -1, np.int32))
-            rows.append(np.lib.stride_tricks.sliding_window_view(short, window))
+        terms, _ = hashed([text])
+        if len(terms):
+            filled = np.append(terms, np.full(max(0, window - len(terms)), NO_TERM))
+            rows.append(np.lib.stride_tricks.sliding_window_view(filled, window))
             owner.append(np.full(len(rows[-1]), number[name]))
     terms, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
     pairs = np.unique(np.stack([which.ravel(), np.concatenate(owner)], 1), axis=0)
     first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
-    return Phrases(vocabulary, terms, (terms >= 0).sum(1), pairs[:, 1].astype(np.int32), first, names)
+    return Phrases(terms, (terms != NO_TERM).sum(1), pairs[:, 1].astype(np.int32), first, names)
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, most: int, window: int = WINDOW) -> list[Phrases]:
+def blocks_of(benchmark: DataFrame, item: str, text: str, most: int, window: int = WINDOW) -> Iterator[Phrases]:
     """The benchmark in blocks of at most `most` characters (or one item) each, so that no broadcast grows with it."""
-    blocks, items, held = [], [], 0
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text)).toLocalIterator()
-
-    def close() -> None:
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in items for w in words(t)}))}
-        blocks.append(phrases(items, vocabulary, window))
-
-    for name, content in rows:
+    items, held = [], 0
+    for name, content in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text)).toLocalIterator():
         if items and held + len(content or "") > most:
-            close()
+            yield phrases(items, window)
             items, held = [], 0
         items.append((name, content))
         held += len(content or "")
-    if items:
-        close()
-    return blocks
+    yield phrases(items, window)
 
 
-def index(docs: DataFrame, vocabulary: Broadcast, keep: list[str], text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """The positional index, partitioned by documents: a row is a segment of documents with, for each term of the
-    vocabulary that it holds, the ascending places of the term. Places run on over the segment; documents lie a word
-    apart. Terms that no test text has can't take part in a match and get no postings. No shuffle."""
+def index(docs: DataFrame, keep: list[str], text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
+    """The positional index, partitioned by documents: a row is a segment of documents with, for each term that it holds,
+    the ascending places of the term. Places run on over the segment; documents lie a word apart. It holds all terms, so
+    that any test text can be looked up in it. No shuffle."""
     kept = docs.select(*keep, F.col(text).alias("_text"))
     fields = T.StructType(kept.schema.fields[:-1])
     key = pa.struct(to_arrow_schema(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value.get
-        ids, ends, keys, held = [], [], [], 0
+        ids, sizes, keys = [], [], []
 
         def close() -> pa.RecordBatch:
-            flat = np.concatenate(ids)
-            places = np.flatnonzero(flat >= 0).astype(np.int32)
-            places = places[np.argsort(flat[places], kind="stable")]
-            terms, counts = np.unique(flat[flat >= 0], return_counts=True)
-            cells = [np.array(ends, np.int32), terms.astype(np.int32), counts.astype(np.int32), places]
+            flat, words_of = np.concatenate(ids), np.concatenate(sizes)
+            place = np.arange(len(flat), dtype=np.int32) + np.repeat(np.arange(len(words_of), dtype=np.int32), words_of)
+            order = np.argsort(flat, kind="stable")
+            terms, counts = np.unique(flat, return_counts=True)
+            cells = [np.cumsum(words_of + 1).astype(np.int32), terms, counts.astype(np.int32), place[order]]
             rows = pa.concat_arrays(keys)
             listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
             return pa.RecordBatch.from_arrays([listed, *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["keys", *CELLS])
 
+        held = 0
         for batch in batches:
             rows = pa.StructArray.from_arrays([batch.column(i).cast(f.type) for i, f in enumerate(key)], fields=list(key))
-            begun = 0
+            begun, block, chars = 0, [], 0
             for i, content in enumerate(batch.column("_text")):
-                found = words(content.as_py())
-                ids.append(np.fromiter(map(known, found, repeat(-1)), np.int32, len(found)))
-                ids.append(np.array([-1], np.int32))
-                held += len(found) + 1
-                ends.append(held)
-                if held >= segment_words:
+                block.append(content.as_py())
+                chars += len(block[-1] or "")
+                if chars >= TEXT_CHARS or i + 1 == batch.num_rows:
+                    terms, counts = hashed(block)
+                    ids.append(terms)
+                    sizes.append(counts)
                     keys.append(rows.slice(begun, i + 1 - begun))
-                    yield close()
-                    ids, ends, keys, held, begun = [], [], [], 0, i + 1
-            if begun < len(rows):
-                keys.append(rows.slice(begun))
-        if ends:
+                    held += len(terms)
+                    begun, block, chars = i + 1, [], 0
+                    if held >= segment_words:
+                        yield close()
+                        ids, sizes, keys, held = [], [], [], 0
+        if keys:
             yield close()
 
     schema = T.StructType([T.StructField("keys", T.ArrayType(fields))] + [T.StructField(c, T.BinaryType()) for c in CELLS])
@@ -128,7 +133,7 @@ class Segment:
 
     def __init__(self, row: dict):
         self.ends = np.frombuffer(row["bounds"], np.int32)
-        self.terms, counts = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["counts"], np.int32)
+        self.terms, counts = np.frombuffer(row["terms"], U64), np.frombuffer(row["counts"], np.int32)
         self.places = np.frombuffer(row["places"], np.int32)
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         self.span = int(self.ends[-1]) + 1
@@ -143,7 +148,7 @@ class Segment:
         return np.where(self.terms[at] == terms, at, -1)
 
     def postings(self, term: int) -> np.ndarray:
-        slot = int(self.slots(np.array([term]))[0])
+        slot = int(self.slots(np.array([term], U64))[0])
         return self.places[:0] if slot < 0 else self.places[self.first[slot] : self.first[slot + 1]]
 
     def between(self, slots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -154,9 +159,9 @@ class Segment:
 
     def rarest(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(window, place) of the rarest term of each window whose terms are all there, some windows at a time; and for
-        all windows the lists of their terms and the order of their offsets, rarest first. -1 is no term."""
+        all windows the lists of their terms and the order of their offsets, rarest first."""
         slots = self.slots(terms)
-        size = np.where(terms < 0, np.iinfo(np.int64).max, np.where(slots < 0, 0, np.diff(self.first, append=0)[slots]))
+        size = np.where(terms == NO_TERM, np.iinfo(np.int64).max, np.where(slots < 0, 0, np.diff(self.first, append=0)[slots]))
         order = np.argsort(size, axis=1, kind="stable")
         window = np.flatnonzero(size.min(axis=1) > 0) if len(terms) else np.zeros(0, np.int64)
         rare = slots[window, order[window, 0]]
@@ -174,7 +179,7 @@ class Segment:
             start = place - order[window, 0]
             for k in range(1, found.terms.shape[1]):
                 offset = order[window, k]
-                fits = (found.terms[window, offset] < 0) | self.between(slots[window, offset], start + offset, start + offset)
+                fits = (found.terms[window, offset] == NO_TERM) | self.between(slots[window, offset], start + offset, start + offset)
                 window, start = window[fits], start[fits]
             windows.append(window)
             starts.append(start)
@@ -190,7 +195,7 @@ class Segment:
             high = np.minimum(place + slop, self.ends[doc] - 2)
             for k in range(1, terms.shape[1]):
                 offset = order[window, k]
-                fits = (terms[window, offset] < 0) | self.between(slots[window, offset], low, high)
+                fits = (terms[window, offset] == NO_TERM) | self.between(slots[window, offset], low, high)
                 window, place, low, high = window[fits], place[fits], low[fits], high[fits]
             windows.append(window)
             places.append(place)
@@ -269,9 +274,9 @@ def decontaminate(
     by number in the document), items, n_near and near: the items with a window whose words all stand, in any order, at
     most `slop` words from the rarest of them. An exact match is a near one too if slop >= window - 1.
 
-    A first pass stores the index as a table in the shared folder; a second reads it and searches each segment for all
-    windows of the benchmark, a block of bounded size after the other. Neither shuffles texts or postings, and no term
-    or document gathers in one task. Null or empty texts have no words and no hit; items without words have no window;
+    A first pass stores the index of all words as a table in the shared folder; a second reads it and searches each
+    segment for all windows of the benchmark, a block of bounded size after the other. Neither shuffles texts or
+    postings, and no term or document gathers in one task. Words are told apart by hashes of 64 bits. Null or empty texts have no words and no hit; items without words have no window;
     a null item id is the empty string; repeated items count once, repeated rows each; an empty benchmark hits nothing;
     other columns are ignored.
     """
@@ -284,18 +289,15 @@ def _decontaminate(
 ) -> tuple[DataFrame, list[DataFrame]]:
     """decontaminate, and the written tables that it reads."""
     spark = small_batches(docs.sparkSession)
-    blocks = blocks_of(benchmark, item, item_text, block_chars, window) or [phrases([], {}, window)]
-    kept, tables = list(keep), []
-    if len(blocks) > 1:  # one more copy of the texts, whose row numbers stay the same for all blocks
-        docs, kept = written(docs.select(*keep, text).withColumn("_row", F.monotonically_increasing_id()), "numbered"), [*keep, "_row"]
-    hits = []
-    for block in blocks:
-        postings = written(index(docs, spark.sparkContext.broadcast(block.vocabulary), kept, text), "postings")
+    postings = written(index(docs.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"], text), "postings")
+    blocks, hits, tables = blocks_of(benchmark, item, item_text, block_chars, window), [], [postings]
+    block, more = next(blocks), True
+    while more:
         found = search(postings, spark.sparkContext.broadcast(block), slop)
-        if len(blocks) > 1:
+        more = (block := next(blocks, None)) is not None
+        if more or hits:
             found = written(found, "hits")
-            discard(spark, postings)
-        tables.append(found if len(blocks) > 1 else postings)
+            tables.append(found)
         hits.append(found)
     found = hits[0]
     if len(hits) > 1:

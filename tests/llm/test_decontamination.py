@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from tabloom.llm import decontamination
-from tabloom.llm.decontamination import CELLS, Segment, decontaminate, drop_contaminated, index, words
+from tabloom.llm.decontamination import CELLS, Segment, decontaminate, drop_contaminated, index
+from tabloom.llm.shared import words
 
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -75,12 +76,14 @@ def test_dropping_keeps_clean_rows_and_all_columns(awkward, bench):
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x x b"), (2, "a x x x x b"), (3, "b"), (4, "a")], "doc_id long, text string").coalesce(1)
-    known = {b"a": 0, b"b": 1}
-    row = index(docs, spark.sparkContext.broadcast(known), ["doc_id"]).collect()[0]
+    row = index(docs, ["doc_id"]).collect()[0]
     segment = Segment({c: bytes(row[c]) for c in CELLS})
-    both = np.array([[0, 1, -1]])
+    a, b, other = decontamination.hashed(["a b c"])[0]
+    both = np.array([[a, b, decontamination.NO_TERM]])
     assert [len(segment.near(both, n)[0]) for n in (2, 3, 5, 50)] == [0, 1, 2, 2]
-    assert np.array_equal(segment.postings(7), []) and np.array_equal(segment.postings(0), [0, 5, 14])
+    assert np.array_equal(segment.postings(other), []) and np.array_equal(segment.postings(a), [0, 5, 14])
+    x = decontamination.hashed(["x"])[0][0]
+    assert np.array_equal(segment.postings(x), [1, 2, 6, 7, 8, 9])  # words that no test text has are indexed too
 
 
 def near_plain(docs, bench, slop, window=10):
@@ -128,9 +131,8 @@ def test_windows_longer_than_any_padding(spark):
 def test_the_rarest_lists_are_met_a_bounded_number_at_a_time(awkward, bench, monkeypatch):
     want = got(decontaminate(awkward, bench, ["doc_id"]))
     for step in (1, 7):
-        known = {w: i for i, w in enumerate(sorted({w for r in bench.collect() for w in words(r.text)}))}
-        found = decontamination.phrases([(str(r.item_id), r.text) for r in bench.collect()], known)
-        row = index(awkward.coalesce(1), awkward.sparkSession.sparkContext.broadcast(known), ["doc_id"]).collect()[0]
+        found = decontamination.phrases([(str(r.item_id), r.text) for r in bench.collect()])
+        row = index(awkward.coalesce(1), ["doc_id"]).collect()[0]
         segment = Segment({c: bytes(row[c]) for c in CELLS})
         whole = sorted(zip(*(x.tolist() for x in segment.exact(found)), strict=True))
         monkeypatch.setattr(decontamination, "STEP", step)
@@ -138,5 +140,13 @@ def test_the_rarest_lists_are_met_a_bounded_number_at_a_time(awkward, bench, mon
     assert want
 
 
+def test_segments_of_any_size(awkward, bench, monkeypatch):
+    want = got(decontaminate(awkward, bench, ["doc_id"]))
+    monkeypatch.setattr(decontamination, "TEXT_CHARS", 50)
+    small = index(awkward, ["doc_id"], segment_words=3)
+    assert small.count() > 5 and sum(len(r["keys"]) for r in small.collect()) == awkward.count()
+    assert got(decontaminate(awkward, bench, ["doc_id"])) == want
+
+
 def test_words():
     assert words("Ab-c É9 _z\x7f") == [b"ab", b"c", "É9".encode(), b"z"] and words(None) == []

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabloom.llm import jaccard_join
+from tabloom.llm import jaccard_join, shingles
 from tabloom.llm.components import components
 from tabloom.llm.jaccard_join import keep_one, near_duplicates
 from tabloom.llm.shared import words
@@ -64,6 +64,16 @@ def test_hashed_shingles_are_as_many_and_as_equal_as_plain_ones(texts):
         assert len(np.intersect1d(a, b)) == len(x & y)
 
 
+def test_words_are_hashed_alike_in_chunks(monkeypatch):
+    texts = ["one two", None, "", "a" * 50 + " three one", " two ", "x"]
+    hashes, counts = word_hashes(texts)
+    for chunk in (1, 7, 30):
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        again, same = word_hashes(texts)
+        assert again.tolist() == hashes.tolist() and same.tolist() == counts.tolist() == [2, 0, 0, 3, 1, 1]
+    assert word_hashes([])[0].tolist() == []
+
+
 def test_documents(documents):
     assert got(near_duplicates(documents)) == plain([(r.doc_id, r.text) for r in documents.collect()])
 
