@@ -20,7 +20,7 @@ from .shared import U64, boxed, counted, discard, small_batches, tidied, written
 from .shingles import word_hashes
 
 #: Words of a window; words of one segment of the index; characters of benchmark text that one broadcast holds.
-WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 20, 8 << 20
+WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 18, 8 << 20
 #: Words from a window's rarest term within which a proximity match has all others; postings that one step follows.
 SLOP, STEP = 20, 1 << 20
 #: Characters of the texts that are hashed at a time.
