@@ -20,7 +20,7 @@ from .shared import U64, boxed, counted, discard, small_batches, tidied, written
 from .shingles import word_hashes
 
 #: Words of a window; words of one segment of the index; characters of benchmark text that one broadcast holds.
-WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 18, 8 << 20
+WINDOW, SEGMENT_WORDS, BLOCK_CHARS = 10, 1 << 16, 8 << 20
 #: Words from a window's rarest term within which a proximity match has all others; postings that one step follows.
 SLOP, STEP = 20, 1 << 20
 #: Characters of the texts that are hashed at a time.
@@ -40,9 +40,10 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Phrases:
-    """Distinct windows: `terms` has a row per window, filled up with NO_TERM, `sizes` its length; window w belongs to the
-    items owners[first[w]:first[w + 1]]."""
+    """Distinct windows over numbered terms: `terms` has a row per window, filled up with -1, `sizes` its length; window w
+    belongs to the items owners[first[w]:first[w + 1]]."""
 
+    vocabulary: np.ndarray
     terms: np.ndarray
     sizes: np.ndarray
     owners: np.ndarray
@@ -68,7 +69,11 @@ def phrases(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrase
     terms, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
     pairs = np.unique(np.stack([which.ravel(), np.concatenate(owner)], 1), axis=0)
     first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
-    return Phrases(terms, (terms != NO_TERM).sum(1), pairs[:, 1].astype(np.int32), first, names)
+    vocabulary, number_of = np.unique(terms, return_inverse=True)  # NO_TERM is the smallest
+    numbered = number_of.reshape(terms.shape).astype(np.int32)
+    if len(vocabulary) and vocabulary[0] == NO_TERM:
+        vocabulary, numbered = vocabulary[1:], numbered - 1
+    return Phrases(vocabulary, numbered, (numbered >= 0).sum(1), pairs[:, 1].astype(np.int32), first, names)
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, most: int, window: int = WINDOW) -> Iterator[Phrases]:
@@ -157,46 +162,48 @@ class Segment:
         at = np.searchsorted(self.keys, slots * self.span + low)
         return (low <= high) & (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= slots * self.span + high)
 
-    def rarest(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(window, place) of the rarest term of each window whose terms are all there, some windows at a time; and for
-        all windows the lists of their terms and the order of their offsets, rarest first."""
-        slots = self.slots(terms)
-        size = np.where(terms == NO_TERM, np.iinfo(np.int64).max, np.where(slots < 0, 0, np.diff(self.first, append=0)[slots]))
-        order = np.argsort(size, axis=1, kind="stable")
-        window = np.flatnonzero(size.min(axis=1) > 0) if len(terms) else np.zeros(0, np.int64)
-        rare = slots[window, order[window, 0]]
+    def rarest(self, found: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, place, lists, offsets): places of the rarest term of each window whose terms are all there, some windows
+        at a time, and the lists of the window's terms and their offsets, rarest first; -1 is no list."""
+        slots = np.append(self.slots(found.vocabulary), -1)
+        size = np.append(np.where(slots[:-1] < 0, 0, np.diff(self.first, append=0)[slots[:-1]]), np.iinfo(np.int64).max)
+        of = size[found.terms]  # of -1 the last
+        window = np.flatnonzero(of.min(axis=1) > 0) if len(of) else np.zeros(0, np.int64)
+        order = np.argsort(of[window], axis=1, kind="stable")
+        lists = np.take_along_axis(slots[found.terms[window]], order, 1)
+        rare = lists[:, 0] if len(window) else np.zeros(0, np.int64)
         n = self.first[rare + 1] - self.first[rare]
         step = (np.cumsum(n) - n) // STEP
         for i, j in pairwise([*np.flatnonzero(np.diff(step, prepend=-1)).tolist(), len(window)]):
+            row = np.repeat(np.arange(i, j), n[i:j])
             begun = np.repeat(self.first[rare[i:j]] - (np.cumsum(n[i:j]) - n[i:j]), n[i:j])
-            yield np.repeat(window[i:j], n[i:j]), self.places[begun + np.arange(len(begun))].astype(np.int64), slots, order
+            yield window[row], self.places[begun + np.arange(len(begun))].astype(np.int64), lists[row], order[row]
 
     def exact(self, found: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of each occurrence. A window's candidates are the list of its rarest term, moved back by the
         term's offset; it is intersected with the moved lists of the other terms, rarest first."""
         windows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for window, place, slots, order in self.rarest(found.terms):
-            start = place - order[window, 0]
+        for window, place, lists, offsets in self.rarest(found):
+            start = place - offsets[:, 0]
             for k in range(1, found.terms.shape[1]):
-                offset = order[window, k]
-                fits = (found.terms[window, offset] == NO_TERM) | self.between(slots[window, offset], start + offset, start + offset)
-                window, start = window[fits], start[fits]
+                at = start + offsets[:, k]
+                fits = (lists[:, k] < 0) | self.between(lists[:, k], at, at)
+                window, start, lists, offsets = window[fits], start[fits], lists[fits], offsets[fits]
             windows.append(window)
             starts.append(start)
         return np.concatenate(windows), np.concatenate(starts)
 
-    def near(self, terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, found: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, place of its rarest term) where every other term of the window is at most `slop` words away, in the
         same document and any order."""
         windows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for window, place, slots, order in self.rarest(terms):
+        for window, place, lists, _ in self.rarest(found):
             doc = np.searchsorted(self.ends, place, side="right")
             low = np.maximum(place - slop, np.where(doc > 0, self.ends[doc - 1], 0))
             high = np.minimum(place + slop, self.ends[doc] - 2)
-            for k in range(1, terms.shape[1]):
-                offset = order[window, k]
-                fits = (terms[window, offset] == NO_TERM) | self.between(slots[window, offset], low, high)
-                window, place, low, high = window[fits], place[fits], low[fits], high[fits]
+            for k in range(1, found.terms.shape[1]):
+                fits = (lists[:, k] < 0) | self.between(lists[:, k], low, high)
+                window, place, lists, low, high = window[fits], place[fits], lists[fits], low[fits], high[fits]
             windows.append(window)
             places.append(place)
         return np.concatenate(windows), np.concatenate(places)
@@ -236,7 +243,7 @@ def search(postings: DataFrame, found: Broadcast, slop: int = SLOP) -> DataFrame
                             last = b
                             spans.append({"start": a, "stop": b})
                     all_items[d] = phrase.named(window[i:j])
-                near_window, place = segment.near(phrase.terms, slop)
+                near_window, place = segment.near(phrase, slop)
                 doc = np.searchsorted(segment.ends, place, side="right")
                 order = np.argsort(doc, kind="stable")
                 near_window, doc = near_window[order], doc[order]

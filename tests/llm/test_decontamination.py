@@ -79,7 +79,8 @@ def test_proximity(spark):
     row = index(docs, ["doc_id"]).collect()[0]
     segment = Segment({c: bytes(row[c]) for c in CELLS})
     a, b, other = decontamination.hashed(["a b c"])[0]
-    both = np.array([[a, b, decontamination.NO_TERM]])
+    both = decontamination.phrases([("i", "a b")], 3)
+    assert both.terms.shape == (1, 3) and set(both.vocabulary.tolist()) == {int(a), int(b)}
     assert [len(segment.near(both, n)[0]) for n in (2, 3, 5, 50)] == [0, 1, 2, 2]
     assert np.array_equal(segment.postings(other), []) and np.array_equal(segment.postings(a), [0, 5, 14])
     x = decontamination.hashed(["x"])[0][0]
