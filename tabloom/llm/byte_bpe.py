@@ -23,8 +23,8 @@ from .shared import small_batches, tidied, uncollected
 FEW = 16
 #: Bytes of distinct words whose merges one replay holds in memory, and distinct words of one generation (a task
 #: remembers two, and the words of the block at hand).
-REPLAY_BYTES = 1 << 19
-REMEMBERED = 100_000
+REPLAY_BYTES = 1 << 18
+REMEMBERED = 60_000
 #: Characters from which a text is encoded by itself, so many words of it at a time.
 LONG, RUN = 1 << 20, 1 << 17
 

@@ -81,15 +81,21 @@ def release(spark: SparkSession) -> None:
 
 
 #: Bytes of one Arrow batch between the JVM and Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Rows of one batch of the Parquet reader: it holds all texts of a batch.
+READ_ROWS = 1024
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Bounds what a Python worker is handed at once, where the session allows more: rows may be long texts."""
+    """Bounds what a Python worker is handed and what a scan holds at once, where the session allows more: rows may be
+    long texts. Both settings stay with the session."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name)
     if now == "-1" or int(now.rstrip("bB") if now.rstrip("bB").lstrip("-").isdigit() else 1 << 62) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > READ_ROWS:
+        spark.conf.set(name, str(READ_ROWS))
     return spark
 
 
