@@ -3,11 +3,12 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabloom.llm.byte_bpe import read_ranks
 from tabloom.llm.secrets import redact
-from tabloom.llm.toxicity import Hasher, pack, train
+from tabloom.llm.toxicity import Hasher, apply, calibrate, pack, train
 from tests.llm import test_decontamination, test_jaccard_join, test_secrets
 
 SF = "/root/testdata/sf0.001"
@@ -16,6 +17,8 @@ SF = "/root/testdata/sf0.001"
 def test_stages_follow_each_other_as_plain_python_does(spark):
     docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     model = train(docs, labels)
+    logits = apply(docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("key")), model, ["doc_id", "lang", "key"], as_logit=True)
+    model = calibrate(model, logits, labels)
     rows = [r for r in docs.collect() if model.score(pack([r.text], Hasher(model.rows)))[0] < 0.3]
     names = {eval(x)[0]: eval(x)[1] for x in test_jaccard_join.plain([(r.doc_id, r.text) for r in rows])}
     rows = [r for r in rows if names[r.doc_id] == r.doc_id]
