@@ -231,3 +231,48 @@ def running(table: DataFrame, keys: Sequence[str], by: str, sums: Sequence[str],
 def average_ranks(counts: DataFrame, keys: Sequence[str], rows: int, by: str = "value", n: str = "n") -> DataFrame:
     """Counts by value with the average rank of each value; windows run over ranges of values, not over rows."""
     return running(counts, keys, by, [n], rows).withColumn("rank", F.col(f"before_{n}") + (F.col(n) + 1) / 2).drop(f"before_{n}")
+
+
+def before_all(table: DataFrame, by: Sequence[str], rows: int, n: str | None = None, window_rows: int | None = None) -> DataFrame:
+    """table, of about `rows` rows that differ in `by`, with before: the sum of n (or the number) of the rows that come
+    first in order of `by`, nulls first. `by` may be of any types that have an order.
+
+    Many rows aren't ordered in one task: some of their own places, picked by a hash, cut them into ranges, which each
+    have a window of their own; the sums of the ranges before, one row for each, are added."""
+    size = quoted(n) if n else F.lit(1)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    parts = min(WINDOWS, -(-rows // (window_rows or WINDOW_ROWS)))
+    if parts <= 1:
+        return table.withColumn("before", total(size, before(Window.orderBy(*by))))
+    place = F.struct(*[quoted(c) for c in by])
+    picked = table.where(F.pmod(F.xxhash64(*[quoted(c) for c in by]), F.lit(max(1, rows // (20 * parts)))) == 0)
+    picked = picked.agg(F.sort_array(F.collect_list(place)).alias("_p"))  # some 20 for each range
+    steps = F.sequence(F.lit(1), F.lit(parts - 1))
+    cuts = picked.select(F.when(F.size("_p") > 0, F.transform(steps, lambda i: F.element_at("_p", F.ceil(i * F.size("_p") / parts).cast("int")))).alias("_cuts"))
+    met = table.crossJoin(F.broadcast(cuts))  # one row
+    met = met.withColumn("_range", F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda x: x < place))).drop("_cuts")
+    met = met.withColumn("_inside", total(size, before(Window.partitionBy("_range").orderBy(*by))))
+    whole = met.groupBy("_range").agg(F.sum(size).alias("_s"))
+    whole = whole.select("_range", total("_s", before(Window.orderBy("_range"))).alias("_b"))  # a row for each range
+    out = met.join(F.broadcast(whole), "_range")
+    return out.select(*[quoted(c) for c in table.columns], (F.col("_inside") + F.col("_b")).alias("before"))
+
+
+def medians(rows: DataFrame, keys: Sequence[str], of: str, held: int = HELD_VALUES, window_rows: int | None = None) -> DataFrame:
+    """(keys..., median, n): exact medians of the non-null number `of` by key. Where keys have few values in all, one
+    aggregate holds them; otherwise the counts by key and value are ordered as one, in ranges, so that no key's values
+    are held together."""
+    counts = rows.groupBy(*keys, of).agg(F.count("*").alias("n"))
+    pairs = counts.count()
+    if pairs <= held:
+        return counts.groupBy(*keys).agg(F.percentile(of, F.lit(0.5), F.col("n")).alias("median"), F.sum("n").alias("n"))
+    placed = before_all(counts, [*keys, of], pairs, "n", window_rows)
+    ends = placed.groupBy(*keys).agg(F.min("before").alias("_start"), F.sum("n").alias("_total"))
+    met = placed.join(ends, list(keys))
+    at = F.col("before") - F.col("_start")
+    holds = lambda k: (at <= k) & (k < at + F.col("n"))
+    low, high = (F.floor((F.col("_total") - 1 + up) / 2) for up in (0, 1))
+    found = met.where(holds(low) | holds(high)).groupBy(*keys)
+    values = [F.max(F.when(holds(k), quoted(of))) for k in (low, high)]
+    return found.agg(((values[0] + values[1]) / 2).alias("median"), F.max("_total").alias("n"))

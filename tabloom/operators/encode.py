@@ -6,12 +6,12 @@ from collections.abc import Callable, Sequence
 from itertools import combinations
 from math import floor, inf, log10
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import equal_width, right_closed
 from ..functions.core import Lookup, Operator, counts_of, is_float, is_numeric, number, one_row, quoted, require, string_columns, value
-from ..functions.stats import quantiles
+from ..functions.stats import before_all, medians, quantiles, quantiles_of
 
 
 class CountEncodingFeatureGenerator(Operator):
@@ -58,8 +58,9 @@ class CrossFeatureGenerator(Operator):
         self.numeric_ = {c: all(is_numeric(df.schema[n].dataType) for n in c) for c in self.combinations_}
         self.codes_ = {}
         for c in (c for c in self.combinations_ if not self.numeric_[c]):
-            seen = df.select(self._text(df, c).alias("key")).distinct()
-            self.codes_[c] = Lookup(seen.withColumn("code", F.row_number().over(Window.orderBy("key")).cast("int") - 1))
+            seen = df.select(self._text(df, c).alias("key")).distinct().persist()
+            self.codes_[c] = Lookup(before_all(seen, ["key"], seen.count()).select("key", F.col("before").cast("int").alias("code")))
+            seen.unpersist()
         self._fitted = True
         return self
 
@@ -160,8 +161,17 @@ class TargetEncodingFeatureGenerator(Operator):
         y = number(df, self.target)
         return right_closed(y, self.target_edges_).cast("double") if self.target_edges_ else y
 
-    def _stat(self, y: Column) -> Column:
-        return {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "nunique": F.count_distinct}[self.aggregation](y).cast("double")
+    def _global(self, df: DataFrame, y: Column) -> float | None:
+        if self.aggregation == "median":
+            return quantiles_of(df, {"y": y}, [0.5])["y"][0]
+        return df.agg((F.avg(y) if self.aggregation == "mean" else F.count_distinct(y)).cast("double")).first()[0]
+
+    def _stats(self, rows: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+        """(keys..., stat, n) of the rows, whose target y is there."""
+        if self.aggregation == "median":
+            return medians(rows, keys, y).withColumnRenamed("median", "stat")
+        stat = F.avg(y) if self.aggregation == "mean" else F.count_distinct(y)
+        return rows.groupBy(*keys).agg(stat.cast("double").alias("stat"), F.count("*").alias("n"))
 
     def _smoothed(self, stat: Column, n: Column) -> Column:
         if self.aggregation == "nunique":
@@ -183,11 +193,10 @@ class TargetEncodingFeatureGenerator(Operator):
             q = sorted(set(quantiles(df, [self.target], [i / self.target_bins for i in range(self.target_bins + 1)])[self.target]))
             self.target_edges_ = [-inf, *q[1:-1], inf]
         y = self._target(df)
-        self.global_ = df.agg(self._stat(y)).first()[0]
+        self.global_ = self._global(df, y)
         self.maps_ = {}
         for f in self.features_names:
-            groups = df.select(self._key(df, f).alias("key"), y.alias("y")).where("key is not null and y is not null").groupBy("key")
-            groups = groups.agg(self._stat(F.col("y")).alias("stat"), F.count("*").alias("n"))
+            groups = self._stats(df.select(self._key(df, f).alias("key"), y.alias("y")).where("key is not null and y is not null"), ["key"], "y")
             self.maps_[f] = Lookup(groups.select("key", self._smoothed(F.col("stat"), F.col("n")).cast("float").alias("te"), "n"))
         self._fitted = True
         return self
@@ -225,8 +234,8 @@ class TargetEncodingFeatureGenerator(Operator):
             met = keyed.join(cells, "_key", "left")
         else:
             folds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(self.folds - 1)), lambda i: i != F.col("_fold")))
-            cells = rows.select("_key", "_y", folds.alias("_fold")).groupBy("_key", "_fold").agg(self._stat(F.col("_y")).alias("s"), F.count("*").alias("n"))
-            te = self._smoothed(F.col("s"), F.col("n"))
+            cells = self._stats(rows.select("_key", "_y", folds.alias("_fold")), ["_key", "_fold"], "_y")
+            te = self._smoothed(F.col("stat"), F.col("n"))
             met = keyed.join(cells, ["_key", "_fold"], "left")
         names = [c for c in df.columns if c != self._name(f)]
         return met.select(*[quoted(c) for c in names], F.coalesce(te, F.lit(self.global_)).cast("float").alias(self._name(f)))

@@ -145,11 +145,11 @@ def argmax(prob: Column) -> Column:
 
 
 def regression_columns(y: Column, p: Column) -> dict[str, Column]:
-    """All regression metrics, for one aggregation."""
+    """All regression metrics that add up, for one aggregation."""
     y, p = y.cast("double"), p.cast("double")
     e = y - p
     return {
-        "mae": F.avg(F.abs(e)), "medae": F.percentile(F.abs(e), F.lit(0.5)), "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)),
+        "mae": F.avg(F.abs(e)), "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)),
         "mape": F.avg(F.when(y != 0, F.abs(e / F.nullif(y, F.lit(0.0))))), "r2": 1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y)),
         "explained_variance": 1 - F.try_divide(F.var_pop(e), F.var_pop(y)),
     }

@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import quoted, require
+from ..functions.stats import quantiles_of
 from .convert import label_of
 from .metrics import TINY, apply_cutoffs, auc_table, classification_summary, per_class, regression_columns
 
 
 def regression_results(train: DataFrame, test: DataFrame, y: str, pred: str) -> DataFrame:
-    """Train and Test by MAE, MedAE, MSE, RMSE, MAPE (without y = 0), R2 and explained variance; one aggregation."""
+    """Train and Test by MAE, MedAE, MSE, RMSE, MAPE (without y = 0), R2 and explained variance: one
+    aggregation, and quantiles of both splits together."""
     rows = [df.select(F.lit(n).alias("split"), quoted(y).alias("y"), quoted(pred).alias("p")) for n, df in (("Train", train), ("Test", test))]
-    return rows[0].unionByName(rows[1]).groupBy("split").agg(*[c.alias(n) for n, c in regression_columns(F.col("y"), F.col("p")).items()])
+    both = rows[0].unionByName(rows[1])
+    error = F.abs(F.col("y").cast("double") - F.col("p").cast("double"))
+    medians = quantiles_of(both, {n: F.when(F.col("split") == n, error) for n in ("Train", "Test")}, [0.5])
+    table = both.groupBy("split").agg(*[c.alias(n) for n, c in regression_columns(F.col("y"), F.col("p")).items()])
+    medae = F.when(F.col("split") == "Train", F.lit(medians["Train"][0])).otherwise(F.lit(medians["Test"][0])).cast("double")
+    return table.select("split", "mae", medae.alias("medae"), *[c for c in table.columns if c not in ("split", "mae")])
 
 
 def classification_results(

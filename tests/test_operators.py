@@ -177,6 +177,33 @@ def test_running_sums_over_ranges(spark):
     assert sorted(tuple(r) for r in alone.collect()) == [w for w in want if w[0] == "a"]
 
 
+def test_places_over_all_rows(spark):
+    keys = [None, "", "a", "é", "\U0001f600"]
+    rows = [(k, v, 1 + (v * 7) % 5) for k in keys for v in range(60)]
+    df = spark.createDataFrame(rows, "k string, v int, n long").repartition(7)
+    order = lambda r: ((r[0] or "").encode(), r[0] is not None, r[1])
+    at, want = 0, []
+    for r in sorted(rows, key=order):
+        want.append((*r, at))
+        at += r[2]
+    for window_rows in (1000, 40, 2):
+        got = [tuple(r) for r in stats.before_all(df, ["k", "v"], 300, "n", window_rows).collect()]
+        assert sorted(got, key=order) == want
+    few = stats.before_all(df.where("v = 0"), ["k"], 5, window_rows=1)
+    assert sorted(r["before"] for r in few.collect()) == [0, 1, 2, 3, 4]
+    assert stats.before_all(df.limit(0), ["k", "v"], 300, "n", 40).count() == 0
+
+
+def test_medians_by_key(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": rng.choice(["x", "y", None, "z"], 400, p=[0.6, 0.2, 0.15, 0.05]), "v": rng.integers(0, 60, 400) / 4})
+    df = spark.createDataFrame(list(zip(pdf["k"], pdf["v"].tolist(), strict=True)), "k string, v double")
+    want = {k: (g["v"].median(), len(g)) for k, g in pdf.dropna().groupby("k")}
+    for held, window_rows in ((10_000, None), (10, 1000), (10, 20)):
+        got = stats.medians(df.where("k is not null"), ["k"], "v", held, window_rows)
+        assert {r["k"]: (r["median"], r["n"]) for r in got.collect()} == want
+
+
 def test_association_and_drift_do_not_cancel_on_large_means(spark):
     rng = np.random.default_rng(5)
     cls = rng.integers(0, 3, 400)
