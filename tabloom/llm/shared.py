@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import time
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import ROW_GROUP_BYTES, discard, qualified, release, scratch, written  # noqa: F401
+
 #: Letters A-Z become lower case, digits, a-z and every byte of a non-ASCII character stay, all else separates words.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -21,36 +21,6 @@ WORD_BYTES = bytes(
 U64 = np.uint64
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors that the session names; a folder of our own only where it names none and
-    driver and executors are one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return qualified(spark, f"{base.rstrip('/')}/tabloom")
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """path with the scheme that Spark takes it to have: the session's own file system if it names none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-#: Bytes of a row group of a written table: what a writing task buffers.
-ROW_GROUP_BYTES = 16 << 20
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later jobs start from its files, so a lost executor costs only its own tasks."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Counted rows and array entries up to which a written table of ids is broadcast; some 100 bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -62,24 +32,6 @@ def counted(table: DataFrame, entries: Column | None = None) -> DataFrame:
     return F.broadcast(table) if size <= BROADCAST_ROWS else table
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    jvm = spark._jvm
-    for table in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs. It acts when the driver's garbage is collected: once
-    for what Python and the last job's events hold on to, and again when these are gone."""
-    for pause in (0.5, 0.1):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(pause)
-
-
 #: Bytes of one Arrow batch between the JVM and Python.
 BATCH_BYTES = 2 << 20
 #: Rows of one batch of the Parquet reader: it holds all texts of a batch.

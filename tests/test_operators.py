@@ -301,3 +301,13 @@ def test_smote_takes_neighbours_of_the_whole_class(spark):
     for p in out[[f"x{i}" for i in range(4)]].to_numpy() / std:
         along = np.clip(((p - x) * step).sum(1) / (step**2).sum(1), 0, 1)
         assert np.abs(x + along[:, None] * step - p).max(1).min() < 1e-6
+
+
+def test_a_streamed_result_does_not_pass_through_the_driver(spark, tmp_path):
+    from tabloom.streaming.apply import stream_table, streamed
+
+    rows = spark.createDataFrame([(i, "AbC"[i % 3]) for i in range(90)], "id long, k string")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    out = streamed(stream_table(spark, str(tmp_path / "in"), rows, 2), convert.CaseNormalizer(["k"], "lower").fit(rows))
+    assert out.schema == rows.schema and out.inputFiles()  # files that executors have written, where a memory sink has none
+    assert sorted(map(tuple, out.collect())) == [(i, "abc"[i % 3]) for i in range(90)]
