@@ -342,6 +342,16 @@ def related(spark):
     return rows, spark.createDataFrame(rows).persist()
 
 
+@pytest.mark.parametrize(("x", "c"), [("x", "c"), ("q", "c"), ("price", "many"), ("tenths", "many")])
+def test_information_on_classes_is_that_of_all_rows(related, x, c):
+    from tabloom.functions.information import mixed_information
+
+    rows, df = related
+    found = mixed_information(df, x, c)
+    assert found == pytest.approx(np.mean([plain_information(rows[x].to_numpy(), rows[c].to_numpy(), True, seed=i) for i in range(8)]), abs=0.02)
+    assert mixed_information(df, x, c, window_rows=300, sent=10, slab=7) == pytest.approx(found, abs=1e-9)
+
+
 @pytest.mark.parametrize(("x", "y"), [("x", "y"), ("q", "price"), ("price", "tenths")])
 def test_information_of_two_numbers_is_that_of_all_rows(related, x, y):
     from tabloom.functions.information import pair_information
