@@ -258,3 +258,12 @@ def test_permuting_shuffles_a_fold_once(spark):
         assert len(seen) == 3
     assert list(select.permuted(rows, "b", "id", 3).orderBy("id").toPandas().b) == list(select.permuted(rows.repartition(3), "b", "id", 3).orderBy("id").toPandas().b)
     places.unpersist()
+
+
+def test_information_elimination_brings_no_rows_to_the_driver(frame, monkeypatch):
+    got, to_arrow = [], type(frame).toArrow
+    monkeypatch.setattr(type(frame), "toArrow", lambda self: got.append((t := to_arrow(self)).num_rows) or t)
+    found = select.MutualInformationRecursiveFeatureElimination(lr(), validator("Roc AUC"), 2)
+    rows = frame.select("id", "y", (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    found.prepare(rows, ["a", "b"])
+    assert set(found.information_) == {"a", "b"} and max(got, default=0) <= 5 < rows.count()
